@@ -6,8 +6,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from mooring.llm import clusters as C
+from mooring.llm import lookalike as L
 from mooring.llm import neardup as N
+from mooring.llm.mixing import mix
+from mooring.llm.packing import pack, packing_report
+from mooring.llm.tokens import with_tokens
 from mooring.llm.topn import top_n_per_group
+from mooring.shared import materialise
 
 
 def _nodes(spark: SparkSession, sf: str, *fields: str) -> DataFrame:
@@ -63,7 +68,58 @@ def p3_cluster_summary(spark: SparkSession, sf: str) -> DataFrame:
     return C.describe_clusters(_clusters(spark, sf), relevance)
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_top_scores, p2_found, p2_groups, p3_found, p3_cluster_summary)}
+def _table(spark: SparkSession, sf: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf}/{name}.parquet")
+
+
+def p6_pack(spark: SparkSession, sf: str) -> DataFrame:
+    """Every document's container in every plan."""
+    docs, plans = _table(spark, sf, "documents"), _table(spark, sf, "pack_plans")
+    return pack(docs, plans).withColumnRenamed("id", "doc_id")
+
+
+def p6_report(spark: SparkSession, sf: str) -> DataFrame:
+    """How full the containers of each plan are."""
+    docs, plans = _table(spark, sf, "documents"), _table(spark, sf, "pack_plans")
+    return packing_report(pack(docs, plans), plans)
+
+
+def _mix(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    sized = materialise(with_tokens(_table(spark, sf, "documents").select("doc_id", "source", "text"), "text"), "sizes")
+    return mix(sized, _table(spark, sf, "mix_targets"))
+
+
+def p7_mix(spark: SparkSession, sf: str) -> DataFrame:
+    """The documents chosen for each mix and how often each is used."""
+    return _mix(spark, sf)[0]
+
+
+def p7_shares(spark: SparkSession, sf: str) -> DataFrame:
+    """The shares each mix reaches."""
+    return _mix(spark, sf)[1]
+
+
+def p8_found(spark: SparkSession, sf: str) -> DataFrame:
+    """Pairs of documents that read the same but aren't stored alike."""
+    pairs = L.look_alike_pairs(_table(spark, sf, "documents"), "doc_id", "text")
+    return pairs.select(F.col("id_a").alias("doc_id_a"), F.col("id_b").alias("doc_id_b"))
+
+
+def p8_one_form(spark: SparkSession, sf: str) -> DataFrame:
+    """Every document's text in its one form."""
+    docs = _table(spark, sf, "documents").select("doc_id", "text")
+    return L.one_form(docs, "text").select("doc_id", "one_form")
+
+
+def p8_classes(spark: SparkSession, sf: str) -> DataFrame:
+    """One row per document with the class of texts that read like its own."""
+    found = L.look_alike_classes(_table(spark, sf, "documents"), "doc_id", "text")
+    return found.select("class_id", F.col("id").alias("doc_id"), "forms", "members")
+
+
+QUERIES = {f.__name__: f for f in (
+    p1_found, p1_top_scores, p2_found, p2_groups, p3_found, p3_cluster_summary, p6_pack, p6_report, p7_mix, p7_shares,
+    p8_found, p8_one_form, p8_classes)}
 
 _BEST = """
     SELECT query_id, n.node_id AS node_id, max(n.relevance) AS relevance
