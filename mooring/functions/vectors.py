@@ -22,6 +22,11 @@ def norm(x: Column) -> Column:
     return F.greatest(F.sqrt(dot(x, x)), F.lit(NORM_FLOOR))
 
 
+def unit(x: Column) -> Column:
+    """The vector divided by its length, which is computed once and not for every element."""
+    return F.transform(F.array(norm(x)), lambda n: F.transform(x, lambda v: v / n))[0]
+
+
 def distance(x: Column, y: Column, metric: str = "angular") -> Column:
     """Angular (angle over pi) or cosine distance; a vector of zeros has cosine 0 with all."""
     cos = F.greatest(F.lit(-1.0), F.least(F.lit(1.0), F.round(dot(x, y) / norm(x) / norm(y), PLACES)))

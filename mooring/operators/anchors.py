@@ -17,8 +17,7 @@ DECIDE = 9
 
 def with_units(universe: DataFrame) -> DataFrame:
     """``unit``: the embedding divided by its length; ``cost``: tokens in thousands."""
-    return (universe.withColumn("_n", V.norm(F.col("embedding"))).withColumn("unit", F.transform("embedding", lambda x: x / F.col("_n")))
-            .withColumn("cost", F.col("tokens") / 1000.0).drop("_n"))
+    return universe.withColumns({"unit": V.unit(F.col("embedding")), "cost": F.col("tokens") / 1000.0})
 
 
 def unit_distance(x: Column, y: Column, metric: str = "angular") -> Column:
@@ -49,7 +48,8 @@ def anchored(universe: DataFrame, anchors: DataFrame, metric: str = "angular") -
     to = F.transform("anchors", lambda a: F.round(
         F.when(a["idx"] == F.col("idx"), F.lit(0.0)).otherwise(unit_distance(F.col("unit"), a["unit"], metric)), DECIDE))
     near = F.array_min(F.col("to"))
-    return (rows.join(lists, "query_id").withColumn("to", to)
+    # from here on anchors are known by position, index and cost, without their vectors
+    return (rows.join(lists, "query_id").withColumn("to", to).withColumn("anchors", F.transform("anchors", lambda a: a.dropFields("unit")))
             .withColumn("near", near).withColumn("cell", (F.array_position("to", near) - 1).cast("long")))
 
 

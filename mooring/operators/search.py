@@ -7,13 +7,11 @@ bounds; the plans call it once per query row inside Arrow batches.
 from __future__ import annotations
 
 from dataclasses import dataclass, field
-from itertools import chain, combinations, islice
+from itertools import combinations
 from math import comb
 
 import numpy as np
 
-#: Combinations that are scored by one array operation.
-CHUNK = 20_000
 #: What an objective must improve by to count.
 MARGIN = 1e-12
 #: Decimal places by which totals are compared, so that ties are ties in any engine.
@@ -64,17 +62,27 @@ def exact(p: Problem, sample, k: int, max_combinations: int = 1_000_000, require
         return greedy(p, s, k), False, total
     d, rho = p.d[np.ix_(s, s)], p.rho[s]
     price = p.token_weight * p.cost[s] if p.token_weight > 0 else np.zeros(len(s))
+    n = len(s)
+    if k == 1:
+        tails, near, worth, starts = np.arange(n)[:, None], d.T, price, [0]
+    else:
+        # the last two members are scored together: pairs in order, and where those begin
+        # whose first member is at least i
+        i, j = np.triu_indices(n, 1)
+        tails, near, worth = np.stack([i, j], 1), np.minimum(d[i], d[j]), price[i] + price[j]
+        starts = np.searchsorted(i, np.arange(n + 1))
     best, found = np.inf, None
-    every = combinations(range(len(s)), k)
-    while flat := list(chain.from_iterable(islice(every, CHUNK))):
-        block = np.array(flat).reshape(-1, k)
-        near = d[:, block[:, 0]]
-        for j in range(1, k):
-            near = np.minimum(near, d[:, block[:, j]])
-        score = np.round(rho @ near + price[block].sum(1) + p.anchor_penalty * k, DECIDE)
-        i = int(score.argmin())
-        if score[i] < best:
-            best, found = score[i], block[i]
+    for head in combinations(range(n), max(0, k - 2)):
+        at = int(starts[head[-1] + 1]) if head else 0
+        if at == len(tails):
+            continue
+        rest = near[at:]
+        if head:
+            rest = np.minimum(rest, d[list(head)].min(0))
+        score = np.round(rest @ rho + worth[at:] + (price[list(head)].sum() + p.anchor_penalty * k), DECIDE)
+        m = int(score.argmin())
+        if score[m] < best:
+            best, found = score[m], [*head, *tails[at + m]]
     return [int(x) for x in s[found]], True, total
 
 

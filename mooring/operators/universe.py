@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from mooring.config import Config
 from mooring.functions import text as T
+from mooring.shared import materialise
 
 SMOOTHING = 1e-8
 
@@ -27,14 +28,13 @@ def query_nodes(examples: DataFrame) -> DataFrame:
         F.coalesce(F.max("n.is_anchor_candidate"), F.lit(True)).alias("candidate"), F.max("n.token_count").cast("long").alias("tokens"),
         F.max("n.embedding").alias("embedding"))
     tokens = F.when(F.coalesce("tokens", F.lit(0)) != 0, F.col("tokens")).otherwise(T.word_count(F.col("text")))
-    return merged.withColumns({"tokens": F.greatest(F.lit(1), tokens), "node_type": F.coalesce("node_type", F.lit("chunk"))})
+    return merged.withColumns({"tokens": F.greatest(F.lit(1), tokens), "node_type": F.coalesce("node_type", F.lit("chunk")), "dim": F.coalesce(F.size("embedding"), F.lit(0))})
 
 
 def with_embedding(nodes: DataFrame) -> DataFrame:
     """Nodes whose embedding has their query's largest length; others can't be compared."""
-    length = F.coalesce(F.size("embedding"), F.lit(0))
-    widest = nodes.groupBy("query_id").agg(F.max(length).alias("dim"))
-    return nodes.join(widest, "query_id").where((length == F.col("dim")) & (length > 0)).drop("dim")
+    widest = nodes.groupBy("query_id").agg(F.max("dim").alias("_widest"))
+    return nodes.join(widest, "query_id").where((F.col("dim") == F.col("_widest")) & (F.col("dim") > 0)).drop("_widest", "dim")
 
 
 def mass_cutoff(nodes: DataFrame, max_nodes: int, min_mass: float) -> DataFrame:
@@ -76,10 +76,16 @@ def with_candidates(universe: DataFrame, node_types: tuple[str, ...]) -> DataFra
     return universe.withColumn("eligible", F.when(some, fits).otherwise(F.lit(True)))
 
 
-def build_universe(examples: DataFrame, config: Config, subject: Column | None = None) -> DataFrame:
-    """The whole candidate set of every query: see the steps above."""
+def merged_nodes(examples: DataFrame) -> DataFrame:
+    """query_nodes as a written table: lengths, totals and ranks then read only the columns
+    they need, and texts and vectors are shuffled once.  Runs may share it."""
+    return materialise(query_nodes(examples), "nodes")
+
+
+def build_universe(nodes: DataFrame, config: Config, subject: Column | None = None) -> DataFrame:
+    """The whole candidate set of every query, from its merged nodes: see the steps above."""
     u, s = config.universe, config.search
-    top = mass_cutoff(with_embedding(query_nodes(examples)), u.max_nodes, u.min_relevance_mass)
+    top = mass_cutoff(with_embedding(nodes), u.max_nodes, u.min_relevance_mass)
     return with_candidates(with_rho(top, s.relevance_mode, subject), u.anchor_node_types)
 
 

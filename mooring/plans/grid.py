@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from mooring.config import Config, load_config
+from mooring.operators.universe import merged_nodes
 from mooring.plans.evaluation import evaluate
 from mooring.plans.retrieval import retrieve
 from mooring.shared import materialise
@@ -33,8 +34,9 @@ def run_grid(examples: DataFrame, configs: dict[str, Config]) -> DataFrame:
     """One metric row per configuration.  Each run's results are written once; settings are
     given as configured and as in effect."""
     out: DataFrame | None = None
+    nodes = merged_nodes(examples)
     for name, c in configs.items():
-        results = materialise(retrieve(examples, c), "results")
+        results = materialise(retrieve(examples, c, nodes=nodes), "results")
         s = c.search
         row = evaluate(examples, results).withColumns({
             "run_name": F.lit(name), "configured_renderer": F.lit(s.renderer), "configured_k": F.lit(s.k), "num_samples": F.lit(s.num_samples), "sample_size_per_k": F.lit(s.sample_size_per_k)})

@@ -96,12 +96,19 @@ def tfidf_top(questions: DataFrame, docs: DataFrame, n: int, max_features: int |
     are joined, and partial sums go to the question before the top n are kept."""
     both = (docs.select(F.concat(F.lit("d"), "node_id").alias("key"), "text")
             .unionByName(questions.select(F.concat(F.lit("q"), "id").alias("key"), F.col("question").alias("text"))))
-    w = materialise(tfidf(both, "key", "text", max_features), "tfidf")
-    q = w.where("key like 'q%'").select(F.expr("substring(key, 2)").alias("id"), "term", F.col("w").alias("wq"))
-    d = w.where("key like 'd%'").select(F.expr("substring(key, 2)").alias("node_id"), "term", F.col("w").alias("wd"))
-    sims = q.join(d, "term").groupBy("id", "node_id").agg(F.sum(F.col("wq") * F.col("wd")).alias("sim"))
-    place = F.row_number().over(Window.partitionBy("id").orderBy(F.desc(F.round("sim", 9)), "node_id"))
-    return sims.withColumn("place", place.cast("long")).where(F.col("place") <= n)
+    w = materialise(tfidf(both, "key", "text", max_features).withColumn("code", F.xxhash64("key")).withColumn("termcode", F.xxhash64("term")), "tfidf")
+    # 64-bit codes stand for keys and terms while postings are multiplied
+    q = w.where("key like 'q%'").select(F.col("code").alias("q"), "termcode", F.col("w").alias("wq"))
+    d = w.where("key like 'd%'").select(F.col("code").alias("d"), "termcode", F.col("w").alias("wd"))
+    sims = q.join(d, "termcode").groupBy("q", "d").agg(F.sum(F.col("wq") * F.col("wd")).alias("sim"))
+    # ties at the cut are decided by node_id, so the n best and all that tie with the last go on to be named
+    rounded = F.round("sim", 9)
+    close = sims.withColumn("r", F.rank().over(Window.partitionBy("q").orderBy(F.desc(rounded)))).where(F.col("r") <= n).drop("r")
+    ids = questions.where("id is not null").select("id", F.xxhash64(F.concat(F.lit("q"), "id")).alias("q")).dropDuplicates(["q"])
+    names = docs.select("node_id", F.xxhash64(F.concat(F.lit("d"), "node_id")).alias("d"))
+    named = close.join(ids, "q").join(names, "d")
+    place = F.row_number().over(Window.partitionBy("id").orderBy(F.desc(rounded), "node_id"))
+    return named.withColumn("place", place.cast("long")).where(F.col("place") <= n).select("id", "node_id", "sim", "place")
 
 
 def merged_universe(top: DataFrame, gold: DataFrame, cap: int) -> DataFrame:

@@ -24,7 +24,7 @@ from mooring.config import Config
 from mooring.functions.vectors import distance_matrix
 from mooring.operators import render as R
 from mooring.operators import search as S
-from mooring.operators.universe import build_universe
+from mooring.operators.universe import build_universe, merged_nodes
 
 OBJECTIVE = "struct<total:double,coverage:double,token_penalty:double,anchor_penalty:double>"
 DIAGNOSTICS = (
@@ -69,10 +69,16 @@ def search_once(q: dict[str, Any], c: Config, k: int, seed: int) -> dict[str, An
         chance = (1 - s.sample_uniform_mix) * mass / mass.sum() + s.sample_uniform_mix / len(mass)
         size = min(len(candidates), max(k, min(s.sample_size_cap, s.sample_size_per_k * k)))
         ids = [q["ids"][i] for i in candidates]
-        samples = [candidates[x] for x in draw(q["query_id"], ids, chance, size, s.num_samples, seed)]
-        found = [S.exact(p, x, k, s.max_exact_combinations, s.require_exact_sample_search) for x in samples]
-        within = [p.objective(f[0], x) for f, x in zip(found, samples)]
-        over_all = [p.objective(f[0]) for f in found]
+        if size == len(candidates):  # every draw takes them all
+            samples = [candidates] * s.num_samples
+        else:
+            samples = [candidates[x] for x in draw(q["query_id"], ids, chance, size, s.num_samples, seed)]
+        known: dict[bytes, tuple] = {}
+        for x in samples:
+            if x.tobytes() not in known:
+                hit = S.exact(p, x, k, s.max_exact_combinations, s.require_exact_sample_search)
+                known[x.tobytes()] = (hit, p.objective(hit[0], x), p.objective(hit[0]))
+        found, within, over_all = (list(v) for v in zip(*(known[x.tobytes()] for x in samples)))
         judged = within if s.retrieval_variant == "sample_only" else over_all
         chosen = int(np.argmin([round(o["total"], S.DECIDE) for o in judged]))
         anchors, sampled, full = found[chosen][0], within[chosen], over_all[chosen]
@@ -164,17 +170,21 @@ def nested(universe: DataFrame) -> DataFrame:
         F.struct("idx", "node_id", "rho", "tokens", "eligible", F.col("embedding").cast("array<double>").alias("embedding")))).alias("nodes"))
 
 
-def retrieve(examples: DataFrame, config: Config, subject: Column | None = None) -> DataFrame:
+def retrieve(examples: DataFrame, config: Config, subject: Column | None = None, nodes: DataFrame | None = None) -> DataFrame:
     """One result row per query that has a node with an embedding; see README for the columns.
 
     Rows of one query are merged first, so delivered repetitions don't matter.  Results
     don't depend on the order or partitioning of the input: draws are keyed by query, node
-    and seed.  ``limit_queries`` keeps the first queries by id.
+    and seed.  ``limit_queries`` keeps the first queries by id.  ``nodes`` may be the examples'
+    merged nodes, if several runs share them.
     """
     if config.experiment.limit_queries:
         first = examples.select("query_id").where("query_id is not null").distinct().orderBy("query_id").limit(config.experiment.limit_queries)
         examples = examples.join(first, "query_id", "left_semi")
-    results = nested(build_universe(examples, config, subject)).mapInArrow(_kernel(config), KERNEL)
+        nodes = nodes.join(first, "query_id", "left_semi") if nodes is not None else None
+    # searching is most of the work: queries are spread over all tasks, not coalesced by their bytes
+    tasks = int(examples.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    results = nested(build_universe(merged_nodes(examples) if nodes is None else nodes, config, subject)).repartition(tasks, "query_id").mapInArrow(_kernel(config), KERNEL)
     gold = gold_of(examples)
     sizes = gold.groupBy("query_id").agg(F.count("*").alias("golds"))
     scored = results.join(support(results, gold, "context_node_ids", "c"), "query_id", "left").join(sizes, "query_id", "left")

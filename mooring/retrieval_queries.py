@@ -15,6 +15,7 @@ from mooring.operators import universe as U
 from mooring.plans import evaluation as E
 from mooring.plans import preparation as P
 from mooring.plans.retrieval import retrieve
+from mooring.shared import materialise
 
 DEFAULT = Config()
 #: A small budget, so that budgets bind.
@@ -31,7 +32,7 @@ def _nodes(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _universe(spark: SparkSession, sf: str) -> DataFrame:
-    return U.build_universe(_read(spark, sf, "examples"), DEFAULT)
+    return U.build_universe(U.merged_nodes(_read(spark, sf, "examples")), DEFAULT)
 
 
 def _r(x, places: int = 6):
@@ -51,7 +52,7 @@ def title_match_class(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _mass(spark: SparkSession, sf: str, mode: str, subject: bool = False) -> DataFrame:
-    nodes = _nodes(spark, sf)
+    nodes = U.merged_nodes(_read(spark, sf, "examples"))
     if subject:  # the answer stands in for the subject, which the table hasn't
         answers = _read(spark, sf, "examples").where("query_id is not null").groupBy("query_id").agg(F.max("answer").alias("subject"))
         nodes = nodes.join(answers, "query_id", "left")
@@ -73,7 +74,7 @@ def subject_title_mass(spark: SparkSession, sf: str) -> DataFrame:
 
 def universe_mass_cutoff(spark: SparkSession, sf: str) -> DataFrame:
     """Every query's candidate set."""
-    nodes = U.with_embedding(_nodes(spark, sf))
+    nodes = U.with_embedding(U.merged_nodes(_read(spark, sf, "examples")))
     return U.mass_cutoff(nodes, DEFAULT.universe.max_nodes, DEFAULT.universe.min_relevance_mass).select("query_id", "idx", "node_id", "score", "tokens")
 
 
@@ -91,7 +92,7 @@ def weighted_samples(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _distances(spark: SparkSession, sf: str, metric: str) -> DataFrame:
-    return A.pair_distances(_universe(spark, sf), metric).select("query_id", "i", "j", _r("d", 6 if metric == "angular" else 9).alias("d"))
+    return A.pair_distances(materialise(_universe(spark, sf).select("query_id", "idx", "embedding", "tokens"), "universe"), metric).select("query_id", "i", "j", _r("d", 6 if metric == "angular" else 9).alias("d"))
 
 
 def angular_distance(spark: SparkSession, sf: str) -> DataFrame:
@@ -107,8 +108,8 @@ def top_rho_anchors(spark: SparkSession, sf: str) -> DataFrame:
     return A.top_rho(_universe(spark, sf), K)
 
 
-def _anchored(spark: SparkSession, sf: str, config: Config = DEFAULT) -> tuple[DataFrame, DataFrame]:
-    universe = U.build_universe(_read(spark, sf, "examples"), config)
+def _anchored(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    universe = materialise(_universe(spark, sf), "universe")
     first = A.top_rho(universe, K)
     return A.anchored(universe, first), first
 
@@ -145,7 +146,7 @@ def refine_one_step(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _exact(spark: SparkSession, sf: str, k: int) -> DataFrame:
-    samples = U.weighted_samples(_universe(spark, sf), DEFAULT, k)
+    samples = materialise(U.weighted_samples(_universe(spark, sf), DEFAULT, k), "samples")
     found = A.exact_search(samples, k, "angular", WEIGHT, PENALTY)
     return found.select("query_id", F.col("sample").cast("long").alias("sample"), "a", "b", "total")
 
@@ -160,7 +161,9 @@ def exact_k2_search(spark: SparkSession, sf: str) -> DataFrame:
 
 def _context(spark: SparkSession, sf: str, renderer: str) -> DataFrame:
     s = COMPACT.search
-    return R.contexts(_anchored(spark, sf)[0], renderer, s.max_context_tokens, s.max_context_nodes, EVIDENCE)
+    # every step of a render reads these rows, so they are made once
+    rows = materialise(_anchored(spark, sf)[0].select("query_id", "idx", "node_id", "tokens", "rho", "anchors", "to", "near", "cell"), "anchored")
+    return R.contexts(rows, renderer, s.max_context_tokens, s.max_context_nodes, EVIDENCE)
 
 
 def render_text(spark: SparkSession, sf: str) -> DataFrame:
