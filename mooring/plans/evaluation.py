@@ -77,7 +77,7 @@ def spearman(pairs: DataFrame, x: str, y: str) -> DataFrame:
         return counts.select(column, (before + (F.col("n") - 1) / 2).alias(f"r{column}"))
 
     joined = clean.join(ranked("x"), "x").join(ranked("y"), "y")
-    sums = joined.agg(F.count("*").alias("n"), F.min("x").alias("lx"), F.max("x").alias("hx"), F.min("y").alias("ly"), F.max("y").alias("hy"), F.corr("rx", "ry").alias("c"))
+    sums = joined.agg(F.count("*").alias("n"), F.min("x").alias("lx"), F.max("x").alias("hx"), F.min("y").alias("ly"), F.max("y").alias("hy"), F.try_divide(F.covar_pop("rx", "ry"), F.stddev_pop("rx") * F.stddev_pop("ry")).alias("c"))
     reason = (F.when(F.col("n") < 2, "need at least two objective/support pairs").when(F.col("lx") == F.col("hx"), "objective values are constant")
               .when(F.col("ly") == F.col("hy"), "support values are constant"))
     return sums.select(F.when(reason.isNull(), F.col("c")).alias("spearman"), reason.alias("reason"))

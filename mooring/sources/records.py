@@ -54,11 +54,11 @@ def node(v: Column) -> Column:
     flag = get(v, "is_anchor_candidate")
     vector = get(v, "embedding", "array<double>")
     return F.struct(
-        F.when(key.isNull(), F.raise_error(F.lit("a node has no id"))).otherwise(key).alias("node_id"),
+        F.when(key.isNull() & v.isNotNull(), F.raise_error(F.lit("a node has no id"))).otherwise(key).alias("node_id"),
         text.alias("text"),
         F.when(kind.isNull(), "chunk").when(F.is_variant_null(kind), "None").otherwise(as_text(kind)).alias("node_type"),
         F.when(relevance.isNull() | F.is_variant_null(relevance), 1.0).otherwise(F.try_variant_get(relevance, "$", "double")).alias("relevance"),
-        F.when(F.coalesce(F.size(vector), F.lit(0)) <= 0, F.raise_error(F.concat(F.lit("no embedding in node "), key))).otherwise(vector).alias("embedding"),
+        F.when((F.coalesce(F.size(vector), F.lit(0)) <= 0) & v.isNotNull(), F.raise_error(F.concat(F.lit("no embedding in node "), F.coalesce(key, F.lit("?"))))).otherwise(vector).alias("embedding"),
         F.coalesce(tokens, word_count(text)).cast("int").alias("token_count"),
         F.when(flag.isNull(), True).otherwise(truthy(flag)).alias("is_anchor_candidate"),
         F.struct(F.coalesce(get(v, "metadata.title", "string"), get(v, "title", "string")).alias("title"), F.lit(None).cast("bigint").alias("corpus_index"),
@@ -68,13 +68,15 @@ def node(v: Column) -> Column:
 def examples(lines: DataFrame, line: str = "line") -> DataFrame:
     """Lines of the record format as examples.  Blank lines are skipped; a line that can't be
     parsed, has no id, query or nodes, or mixes embedding lengths, fails the job."""
-    rows = lines.where(F.trim(F.col(line)) != "").withColumn("v", F.parse_json(line))
+    # the optimiser may look into a row before the filter does, so blank lines parse to null and raise nothing
+    blank = F.trim(F.regexp_replace(line, r"\s+", " ")) == ""
+    rows = lines.where(~blank).withColumn("v", F.parse_json(F.when(~blank, F.col(line))))
     v = F.col("v")
     query = F.coalesce(as_text(first_truthy(v, ("query",))), as_text(get(v, "question")), as_text(get(v, "query")))
     key = as_text(first_truthy(v, QUERY_KEYS))
     listed = F.try_variant_get(first_truthy(v, NODE_LISTS), "$", "array<variant>")
     gold = F.try_variant_get(first_truthy(v, GOLD_LISTS), "$", "array<string>")
-    fail = lambda bad, what, ok: F.when(bad, F.raise_error(F.concat(F.lit(what + ": "), F.substring(line, 1, 80)))).otherwise(ok)
+    fail = lambda bad, what, ok: F.when(bad & v.isNotNull(), F.raise_error(F.concat(F.lit(what + ": "), F.substring(line, 1, 80)))).otherwise(ok)
     made = rows.select(
         *[c for c in lines.columns if c != line],
         fail(key.isNull(), "no query id", key).alias("query_id"), fail(query.isNull(), "no query", query).alias("query"),
