@@ -80,12 +80,17 @@ def _d(a: str, b: str) -> str:
     return f"(acos({_cos(a, b)}) / pi())"
 
 
+def _around(n: str = "") -> str:
+    """Distances to the anchors of the table ``anchors{n}``, and every node's nearest one."""
+    return f"""
+    to_anchor{n} AS (SELECT u.query_id, u.idx, a.pos, round(CASE WHEN u.idx = a.idx THEN 0.0 ELSE {_d('u.embedding', 'a.embedding')} END, 9) AS d, u.rho FROM uni u JOIN anchors{n} a USING (query_id)),
+    nearest{n} AS (SELECT query_id, idx, min(d) AS near, arg_min(pos, struct_pack(d := d, pos := pos)) AS cell FROM to_anchor{n} GROUP BY 1, 2),
+    anchored{n} AS (SELECT u.*, near, cell FROM uni u JOIN nearest{n} USING (query_id, idx))"""
+
+
 ANCHORED = BASE_SQL + f""",
     anchors AS (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY rho DESC, idx) - 1 AS pos, idx, embedding, cost FROM uni WHERE eligible
-        QUALIFY pos < 3),
-    to_anchor AS (SELECT u.query_id, u.idx, a.pos, round(CASE WHEN u.idx = a.idx THEN 0.0 ELSE {_d('u.embedding', 'a.embedding')} END, 9) AS d, u.rho FROM uni u JOIN anchors a USING (query_id)),
-    nearest AS (SELECT query_id, idx, min(d) AS near, arg_min(pos, struct_pack(d := d, pos := pos)) AS cell FROM to_anchor GROUP BY 1, 2),
-    anchored AS (SELECT u.*, near, cell FROM uni u JOIN nearest USING (query_id, idx))"""
+        QUALIFY pos < 3),{_around()}"""
 
 FILL = "row_number() OVER (PARTITION BY query_id ORDER BY round(rho - {g} * near, 9) DESC, round(rho, 9) DESC, near, idx)"
 PICKS = {
@@ -225,6 +230,54 @@ def _mass(score: str, extra: str = "", source: str = "cut") -> str:
     return f"WITH {UNIVERSE}{extra}, m AS ({_rho(score, source)}) SELECT query_id, idx, node_id, round(rho, 9) AS rho FROM m"
 
 
+
+
+def _total(n: str) -> str:
+    return f"""
+    total{n} AS (SELECT query_id, c + 0.03 * t AS total FROM (SELECT query_id, sum(rho * near) AS c FROM anchored{n} GROUP BY 1)
+        JOIN (SELECT query_id, sum(cost) AS t FROM anchors{n} GROUP BY 1) USING (query_id))"""
+
+
+def _searched(k: int, variant: str, renderer: str) -> str:
+    """A run with sampling: exact search of every sample by joins, choice of a sample, and one
+    refinement step; queries with at most k candidates take them all."""
+    names, tables = [f"a{i}" for i in range(k)], [f"x{i}" for i in range(k)]
+    joins = " ".join(f"JOIN dist {t} ON {t}.query_id = x0.query_id AND {t}.sample = x0.sample AND {t}.v = x0.v AND {t}.a > {p}.a" for p, t in zip(tables, tables[1:]))
+    least, price = ", ".join(f"{t}.d" for t in tables), " + ".join(f"any_value({t}.ca)" for t in tables)
+    choose = ("SELECT query_id, sample FROM picked QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY total, sample) = 1" if variant == "sample_only" else
+              """SELECT query_id, sample FROM (SELECT query_id, sample, round(sum(rho * near) + 0.03 * any_value(t), 9) AS total FROM (
+            SELECT m.query_id, m.sample, u.idx, any_value(u.rho) AS rho, min(CASE WHEN u.idx = m.idx THEN 0.0 ELSE """ + _d("u.embedding", "m.embedding") + """ END) AS near, sum(m.cost) AS t
+            FROM members m JOIN uni u USING (query_id) GROUP BY 1, 2, 3) GROUP BY 1, 2) QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY total, sample) = 1""")
+    refine = "refine" in variant
+    step = f"""
+    costs AS (SELECT u.query_id, u.cell, u.idx, any_value(u.cost) AS cost, sum(v.rho * CASE WHEN u.idx = v.idx THEN 0.0 ELSE {_d('u.embedding', 'v.embedding')} END) AS c
+        FROM anchored0 u JOIN anchored0 v ON u.query_id = v.query_id AND u.cell = v.cell WHERE u.eligible GROUP BY 1, 2, 3),
+    best AS (SELECT query_id, cell AS pos, idx FROM costs QUALIFY row_number() OVER (PARTITION BY query_id, cell ORDER BY round(c + 0.03 * cost, 9), idx) = 1),
+    anchors1 AS (SELECT p.query_id, p.pos, u.idx, u.embedding, u.cost FROM (SELECT a.query_id, a.pos, coalesce(b.idx, a.idx) AS idx FROM anchors0 a LEFT JOIN best b USING (query_id, pos)) p
+        JOIN uni u USING (query_id, idx)),{_around('1')},{_total('1')},
+    moved AS (SELECT query_id, total1.total < total0.total - 1e-12 AS better FROM total0 JOIN total1 USING (query_id)),
+    anchors AS (SELECT a.* FROM anchors1 a JOIN moved USING (query_id) WHERE better UNION ALL SELECT a.* FROM anchors0 a JOIN moved USING (query_id) WHERE NOT better),"""
+    return f"""WITH RECURSIVE {_samples(12 * k)},
+    enough AS (SELECT query_id, count(*) > {k} AS more FROM uni WHERE eligible GROUP BY 1),
+    dist AS (SELECT a.query_id, a.sample, a.idx AS a, a.cost AS ca, v.idx AS v, v.rho AS mass, CASE WHEN a.idx = v.idx THEN 0.0 ELSE {_d('a.embedding', 'v.embedding')} END AS d
+        FROM samples a JOIN samples v USING (query_id, sample) JOIN enough USING (query_id) WHERE more),
+    sums AS (SELECT x0.query_id, x0.sample, {', '.join(f'{t}.a AS {n}' for t, n in zip(tables, names))}, round(sum(x0.mass * least({least})) + 0.03 * ({price}), 9) AS total
+        FROM dist x0 {joins} GROUP BY 1, 2, {', '.join(f'{t}.a' for t in tables)}),
+    picked AS (SELECT * FROM sums QUALIFY row_number() OVER (PARTITION BY query_id, sample ORDER BY total, {', '.join(names)}) = 1),
+    members AS (SELECT l.query_id, l.sample, l.pos, u.idx, u.embedding, u.cost FROM ({' UNION ALL '.join(f'SELECT query_id, sample, {n} AS idx, {i} AS pos FROM picked' for i, n in enumerate(names))}) l JOIN uni u USING (query_id, idx)),
+    chosen AS ({choose}),
+    anchors0 AS (SELECT m.query_id, m.pos, m.idx, m.embedding, m.cost FROM members m JOIN chosen USING (query_id, sample)
+        UNION ALL SELECT u.query_id, row_number() OVER (PARTITION BY u.query_id ORDER BY u.idx) - 1, u.idx, u.embedding, u.cost FROM uni u JOIN enough USING (query_id) WHERE eligible AND NOT more),
+    {_around('0')},{_total('0')},{step if refine else 'anchors AS (SELECT * FROM anchors0),'}
+    {_around()},{_total('')}, {_turns(renderer)}, {GOLD},
+    listed AS (SELECT a.query_id, list(u.node_id ORDER BY a.pos) AS anchor_node_ids FROM anchors a JOIN uni u ON a.query_id = u.query_id AND a.idx = u.idx GROUP BY 1),
+    sizes AS (SELECT query_id, count(*) AS nodes FROM uni GROUP BY 1)
+SELECT query_id, anchor_node_ids, context_node_ids, round(total0.total, 6) AS before, round(total.total, 6) AS after,
+    CASE WHEN ids IS NOT NULL THEN round(len(list_intersect(context_node_ids, ids))::DOUBLE / len(ids), 6) END AS support_recall,
+    CASE WHEN ids IS NOT NULL THEN (len(list_intersect(context_node_ids, ids)) > 0)::DOUBLE END AS support_hit, true AS exact_phase1, nodes, tokens, len(anchor_node_ids) AS k
+FROM shown JOIN sizes USING (query_id) JOIN listed USING (query_id) JOIN total0 USING (query_id) JOIN total USING (query_id) LEFT JOIN golds USING (query_id)"""
+
+
 ORACLES = {
     "lexical_overlap_topn": f"""WITH {NODES}, o AS (SELECT query_id, node_id, {_overlap('query', 'text')} AS s FROM nodes_all)
 SELECT query_id, node_id, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, node_id) AS place, round(s, 6) AS overlap FROM o QUALIFY place <= 5""",
@@ -267,6 +320,10 @@ SELECT query_id, anchor_node_ids, context_node_ids, round(coverage + p, 6) AS be
     CASE WHEN ids IS NOT NULL THEN round(len(list_intersect(context_node_ids, ids))::DOUBLE / len(ids), 6) END AS support_recall,
     CASE WHEN ids IS NOT NULL THEN (len(list_intersect(context_node_ids, ids)) > 0)::DOUBLE END AS support_hit, true AS exact_phase1, nodes, tokens, len(anchor_node_ids) AS k
 FROM shown JOIN cover USING (query_id) JOIN price USING (query_id) LEFT JOIN golds USING (query_id)""",
+    "retrieval_sample_only": _searched(2, "sample_only", "old"),
+    "retrieval_full_validation": _searched(2, "sample_full_validation", "old"),
+    "retrieval_refine": _searched(3, "sample_full_validation_refine", "old"),
+    "retrieval_refine_cell": _searched(3, "sample_full_validation_refine", "cell_top_rho"),
     "prediction_last_row": f"WITH {SCORES} SELECT query_id, latency_ms, objective_after_refinement FROM last",
     "context_metrics": f"WITH {SCORES} SELECT query_id, round(cr, 6) AS recall, ch AS hit, round(cp, 6) AS precision, round(cf, 6) AS f1, len(c)::DOUBLE AS size, tokens FROM scores",
     "anchor_metrics": f"WITH {SCORES} SELECT query_id, round(ar, 6) AS recall, ah AS hit, round(ap, 6) AS precision, round(af, 6) AS f1, len(a)::DOUBLE AS size FROM scores",
