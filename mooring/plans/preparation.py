@@ -90,17 +90,68 @@ def tfidf(texts: DataFrame, key: str, text: str, max_features: int | None = None
     return weighted.join(norm, "key").select("key", "term", (F.col("w") / F.col("norm")).alias("w"))
 
 
+#: Postings of the documents and of the questions that meet in one task.
+DOC_POSTINGS, QUESTION_POSTINGS = 500_000, 200_000
+
+
+def _block_top(n: int):
+    """The n best documents of a block for every question of a block, and all that tie with the
+    last: postings of a question's terms are added up in one array over the block's documents."""
+    import numpy as np
+    import pandas as pd
+
+    def run(q: pd.DataFrame, d: pd.DataFrame) -> pd.DataFrame:
+        out: list[tuple] = []
+        if len(q) and len(d):
+            docs, doc = np.unique(d["d"].to_numpy(), return_inverse=True)
+            terms, term = np.unique(d["termcode"].to_numpy(), return_inverse=True)
+            order = np.argsort(term, kind="stable")
+            start = np.searchsorted(term[order], np.arange(len(terms) + 1))
+            doc, weight = doc[order], d["wd"].to_numpy()[order]
+            q = q.sort_values(["q", "qterm"])
+            at = np.minimum(np.searchsorted(terms, q["qterm"].to_numpy()), len(terms) - 1)
+            known = terms[at] == q["qterm"].to_numpy()
+            asked, wq = q["q"].to_numpy(), q["wq"].to_numpy()
+            cuts = np.r_[np.flatnonzero(np.r_[True, asked[1:] != asked[:-1]]), len(asked)]
+            for low, high in zip(cuts, cuts[1:]):
+                here = np.arange(low, high)[known[low:high]]
+                t = at[here]
+                size = start[t + 1] - start[t]
+                if not size.sum():
+                    continue
+                rows = np.repeat(start[t] - (np.cumsum(size) - size), size) + np.arange(size.sum())
+                sim = np.bincount(doc[rows], weight[rows] * np.repeat(wq[here], size), len(docs))
+                seen = np.flatnonzero(sim > 0)
+                rounded = np.round(sim[seen], 9)
+                if len(seen) > n:
+                    seen = seen[rounded >= np.partition(rounded, -n)[-n]]
+                out.append((np.full(len(seen), asked[low]), docs[seen], sim[seen]))
+        q, d, sim = (np.concatenate(c) for c in zip(*out)) if out else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
+        return pd.DataFrame({"q": q, "d": d, "sim": sim})
+
+    return run
+
+
 def tfidf_top(questions: DataFrame, docs: DataFrame, n: int, max_features: int | None = None) -> DataFrame:
     """(id, node_id, sim, place): the n documents of highest TF-IDF cosine for every question,
-    fitted on both; documents that share no term aren't listed.  An inverted index: terms
-    are joined, and partial sums go to the question before the top n are kept."""
+    fitted on both; documents that share no term aren't listed.
+
+    Blocks of questions meet blocks of documents' postings, and only each block's best leave
+    it, so what is shuffled doesn't grow with the number of matching pairs.
+    """
     both = (docs.select(F.concat(F.lit("d"), "node_id").alias("key"), "text")
             .unionByName(questions.select(F.concat(F.lit("q"), "id").alias("key"), F.col("question").alias("text"))))
-    w = materialise(tfidf(both, "key", "text", max_features).withColumn("code", F.xxhash64("key")).withColumn("termcode", F.xxhash64("term")), "tfidf")
+    w = materialise(tfidf(both, "key", "text", max_features).select(
+        F.substring("key", 1, 1).alias("side"), F.xxhash64("key").alias("code"), F.xxhash64("term").alias("termcode"), "w"), "tfidf")
     # 64-bit codes stand for keys and terms while postings are multiplied
-    q = w.where("key like 'q%'").select(F.col("code").alias("q"), "termcode", F.col("w").alias("wq"))
-    d = w.where("key like 'd%'").select(F.col("code").alias("d"), "termcode", F.col("w").alias("wd"))
-    sims = q.join(d, "termcode").groupBy("q", "d").agg(F.sum(F.col("wq") * F.col("wd")).alias("sim"))
+    q = w.where("side = 'q'").select(F.col("code").alias("q"), F.col("termcode").alias("qterm"), F.col("w").alias("wq"))
+    d = w.where("side = 'd'").select(F.col("code").alias("d"), F.col("termcode").alias("termcode"), F.col("w").alias("wd"))
+    d = d.join(q.select(F.col("qterm").alias("asked")).distinct(), F.col("termcode") == F.col("asked"), "left_semi")
+    nd, nq = (max(8, -(-d.count() // DOC_POSTINGS)), max(1, -(-q.count() // QUESTION_POSTINGS)))
+    every = lambda m: F.explode(F.sequence(F.lit(0), F.lit(m - 1)))
+    left = q.select("q", "qterm", "wq", F.pmod("q", F.lit(nq)).cast("int").alias("qb"), every(nd).alias("db")).groupBy("qb", "db")
+    right = d.select("d", "termcode", "wd", F.pmod("d", F.lit(nd)).cast("int").alias("db"), every(nq).alias("qb")).groupBy("qb", "db")
+    sims = left.cogroup(right).applyInPandas(_block_top(n), "q long, d long, sim double")
     # ties at the cut are decided by node_id, so the n best and all that tie with the last go on to be named
     rounded = F.round("sim", 9)
     close = sims.withColumn("r", F.rank().over(Window.partitionBy("q").orderBy(F.desc(rounded)))).where(F.col("r") <= n).drop("r")

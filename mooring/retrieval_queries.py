@@ -266,7 +266,8 @@ def gold_counts(spark: SparkSession, sf: str) -> DataFrame:
 
 def _top(spark: SparkSession, sf: str, n: int) -> DataFrame:
     qa = _read(spark, sf, "qa").where("id is not null").dropDuplicates(["id"])
-    return P.tfidf_top(qa.select("id", F.coalesce("question", F.lit("")).alias("question")), P.corpus_documents(_read(spark, sf, "corpus")), n)
+    docs = materialise(P.corpus_documents(_read(spark, sf, "corpus")), "docs")
+    return P.tfidf_top(qa.select("id", F.coalesce("question", F.lit("")).alias("question")), docs, n)
 
 
 def tfidf_topn(spark: SparkSession, sf: str) -> DataFrame:
