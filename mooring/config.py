@@ -34,7 +34,7 @@ class Distance:
 
 @dataclass(frozen=True)
 class Search:
-    """The section that is called ``pamae`` in configuration files."""
+    """The section ``search``; in files it may have another name, see parse_config."""
 
     retrieval_variant: str = "sample_full_validation_refine"
     renderer: str = "old"
@@ -77,15 +77,20 @@ class Config:
 
 
 #: Section names in files, as users write them.
-SECTIONS = {"experiment": Experiment, "universe": Universe, "distance": Distance, "pamae": Search}
+SECTIONS = {"experiment": Experiment, "universe": Universe, "distance": Distance, "search": Search}
 
 
 def parse_config(raw: dict[str, Any] | None) -> Config:
     """A mapping of sections as a Config.  Missing and null sections are defaults; unknown
-    sections and keys are errors."""
+    sections and keys are errors, but for one section of search settings under another name,
+    as older files have it: it counts as ``search`` if that isn't there."""
     raw = raw or {}
     if not isinstance(raw, dict):
         raise ValueError("a configuration is a mapping of sections")
+    known = {f.name for f in fields(Search)}
+    named = [k for k, v in raw.items() if k not in SECTIONS and isinstance(v, dict) and v and set(v) <= known]
+    if len(named) == 1 and "search" not in raw:
+        raw = {"search" if k == named[0] else k: v for k, v in raw.items()}
     if unknown := sorted(set(raw) - set(SECTIONS)):
         raise ValueError(f"unknown sections: {unknown}")
     made = {}
@@ -97,7 +102,7 @@ def parse_config(raw: dict[str, Any] | None) -> Config:
             raise ValueError(f"unknown keys in {name}: {unknown}")
         if "anchor_node_types" in values:
             values = values | {"anchor_node_types": tuple(values["anchor_node_types"])}
-        made["search" if name == "pamae" else name] = cls(**values)
+        made[name] = cls(**values)
     return checked(Config(**made))
 
 

@@ -138,18 +138,18 @@ def test_files_grid_and_summary(spark, tmp_path):
 
 
 def test_configuration(tmp_path):
-    (tmp_path / "c.yaml").write_text("experiment:\n  seed: 7\nuniverse:\n  anchor_node_types: [chunk]\npamae:\n  k: 2\n")
+    (tmp_path / "c.yaml").write_text("experiment:\n  seed: 7\nuniverse:\n  anchor_node_types: [chunk]\nother_name:\n  k: 2\n")
     c = load_config(tmp_path / "c.yaml")
     assert (c.experiment.seed, c.universe.anchor_node_types, c.search.k, c.search.k_max) == (7, ("chunk",), 2, 4)
-    assert parse_config({"pamae": None}) == Config() == parse_config(None)
-    for bad in ({"other": {}}, {"pamae": {"x": 1}}, {"pamae": {"k": 0}}, {"pamae": {"renderer": "x"}}, {"universe": {"min_relevance_mass": 0}}, {"distance": {"metric": "l2"}}, {"experiment": {"limit_queries": 0}},
-                {"pamae": {"max_context_nodes": 2, "strict_context_budget": True}}):
+    assert parse_config({"search": None}) == Config() == parse_config(None)
+    for bad in ({"other": {}}, {"search": {"x": 1}}, {"search": {"k": 0}}, {"search": {"renderer": "x"}}, {"universe": {"min_relevance_mass": 0}}, {"distance": {"metric": "l2"}}, {"experiment": {"limit_queries": 0}},
+                {"search": {"max_context_nodes": 2, "strict_context_budget": True}}):
         with pytest.raises(ValueError):
             parse_config(bad)
     with pytest.warns(UserWarning):
-        parse_config({"pamae": {"max_context_nodes": 2}})
+        parse_config({"search": {"max_context_nodes": 2}})
     with pytest.raises(TypeError):
-        parse_config({"pamae": [1]})
+        parse_config({"search": [1]})
 
 
 def test_a_stream_gives_what_a_batch_gives(spark, tmp_path):
