@@ -1,5 +1,6 @@
 import json
 
+import numpy as np
 import pytest
 
 from mooring.config import Config, Experiment, Search, Universe, load_config, parse_config
@@ -161,3 +162,27 @@ def test_a_stream_gives_what_a_batch_gives(spark, tmp_path):
     q.awaitTermination(120)
     got = spark.read.parquet(str(tmp_path / "out")).drop("batch", "latency_ms").orderBy("query_id").collect()
     assert got == retrieve(ex, SMOKE).drop("latency_ms").orderBy("query_id").collect()
+
+
+def test_best_k_greedy_and_title_runs(spark):
+    import random
+
+    from mooring.functions.vectors import distance_matrix
+    from mooring.operators.search import Problem, greedy
+
+    r = random.Random(8)
+    nodes = [{"node_id": f"n{i:02}", "text": f"word{i} what", "relevance": round(0.9 - i / 50, 2), "embedding": [r.gauss(0, 1) for _ in range(4)], "token_count": 5,
+              "metadata": {"title": "connected" if i == 7 else f"title{i}"}} for i in range(12)]
+    ex = examples(spark, line(nodes=nodes))
+    base = Config(universe=Universe(12, 1.0), search=Search(k=2, sample_size_per_k=20))
+    each = {k: retrieve(ex, base.with_search(k=k)).first()["objective_after_refinement"] for k in (1, 2, 3, 4)}
+    best = retrieve(ex, base.with_search(auto_k=True)).first()
+    assert best["objective_after_refinement"] == pytest.approx(min(each.values())) and best["diagnostics"]["k"] == min(each, key=each.get)
+    penal = retrieve(ex, base.with_search(retrieval_variant="adaptive_k", lambda_k=0.05)).first()["diagnostics"]
+    assert penal["adaptive_k_score"] == pytest.approx(min(v + 0.05 * k for k, v in each.items()))
+    rows = U.build_universe(U.merged_nodes(ex), base).orderBy("idx").collect()
+    p = Problem(distance_matrix(np.array([x["embedding"] for x in rows])), np.array([x["rho"] for x in rows]), np.full(len(rows), 0.005), 0.03, 0.0)
+    quick = retrieve(ex, base.with_search(retrieval_variant="sample_full_validation", max_exact_combinations=5, require_exact_sample_search=False)).first()
+    assert quick["anchor_ids"] == [rows[i]["node_id"] for i in greedy(p, range(len(rows)), 2)] and not quick["exact_phase1"] and quick["diagnostics"]["fallback_used"]
+    titled = retrieve(ex, base.with_search(retrieval_variant="top_rho", k=1, relevance_mode="title_aware")).first()
+    assert titled["anchor_ids"] == ["n07"]
