@@ -4,10 +4,10 @@ Two records are alike if their vectors have one length and a cosine of at least
 threshold.  Equal vectors are collapsed first.  Then:
 
 1. *Blocks.*  Each vector is turned by a few fixed random rotations.  Under each, it is
-   put into the cells of its ``probes`` largest coordinates (with their signs).  Alike
-   vectors share a cell under at least one rotation with a probability that the number
-   of rotations is chosen for (``miss`` bounds the chance that a pair exactly at the
-   threshold shares none; closer pairs are missed far more rarely).  A cell with more
+   put into the cells of its ``probes`` largest coordinates (with their signs).  The
+   number of rotations is chosen for each length of vectors, so that ``miss`` bounds the
+   chance that a pair exactly at the threshold is compared under none of them, misses
+   inside large blocks included; closer pairs are missed far more rarely.  A cell with more
    rows than a block holds is cut into blocks, and every pair of its blocks is a task
    of its own, so a hot cell costs more tasks and not a larger one.
 2. *Neighbours.*  A block's rows are joined with each other by matrix products.  What
@@ -28,6 +28,7 @@ checked against the 64-bit vectors before they count.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from functools import lru_cache
 from math import ceil, log
 
 import numpy as np
@@ -45,8 +46,9 @@ BLOCK_ROWS = 300_000
 FULL_ROWS = 2048
 #: A bound on the error of a cosine of 16-bit vectors.
 ROUNDING = 2e-3
-#: The chance that a block of many rows misses a pair at the threshold that lies in it.
-INNER_MISS = 0.03
+#: The chance that a block of many rows misses a pair at the threshold that lies in it; the
+#: number of rotations makes up for it.
+INNER_MISS = 0.005
 
 
 def rotation(dim: int, number: int) -> np.ndarray:
@@ -55,6 +57,7 @@ def rotation(dim: int, number: int) -> np.ndarray:
     return (q * np.sign(np.diag(r))).astype(np.float32)
 
 
+@lru_cache(maxsize=1024)
 def shared_cell_chance(dim: int, cosine: float, probes: int, trials: int = 4000) -> float:
     """The chance that two unit vectors at ``cosine`` share a cell under one rotation."""
     g = np.random.default_rng(7)
@@ -67,13 +70,21 @@ def shared_cell_chance(dim: int, cosine: float, probes: int, trials: int = 4000)
     return float((a[:, :, None] == b[:, None, :]).any((1, 2)).mean())
 
 
+def rotations(dim: int, threshold: float, miss: float, probes: int) -> int:
+    """How many rotations bound by ``miss`` the chance that a pair of vectors of length ``dim``
+    at the threshold is never compared.  Rotations of large blocks differ between these, so
+    their misses are independent."""
+    chance = shared_cell_chance(dim, threshold, probes) * (1 - INNER_MISS)
+    return 1 if chance >= 1 else max(1, ceil(log(miss) / log(1 - chance)))
+
+
 def _top_cells(turned: np.ndarray, probes: int) -> np.ndarray:
     p = min(probes, turned.shape[1])
     top = np.argpartition(-np.abs(turned), p - 1, axis=1)[:, :p]
     return top * 2 + (np.take_along_axis(turned, top, 1) < 0)
 
 
-def _cells(rotations: int, probes: int):
+def _cells(threshold: float, miss: float, probes: int):
     """(dim, spin, cell, rep, vec16) rows: the cells of each vector, vectors as float16 bytes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -89,7 +100,7 @@ def _cells(rotations: int, probes: int):
                 x = (x / np.linalg.norm(x, axis=1, keepdims=True)).astype(np.float32)
                 small = x.astype(np.float16)
                 vec = pa.Array.from_buffers(pa.binary(), len(rows), [None, pa.py_buffer((np.arange(len(rows) + 1) * d * 2).astype(np.int32)), pa.py_buffer(np.ascontiguousarray(small).tobytes())])
-                for spin in range(rotations):
+                for spin in range(rotations(int(d), threshold, miss, probes)):
                     cells = _top_cells(x @ rotation(int(d), spin), probes)
                     for p in range(cells.shape[1]):
                         yield pa.RecordBatch.from_arrays(
@@ -99,11 +110,11 @@ def _cells(rotations: int, probes: int):
     return run
 
 
-def _cell_counts(rotations: int, probes: int):
+def _cell_counts(threshold: float, miss: float, probes: int):
     """(dim, spin, cell, n) per batch: the sizes of the cells without their rows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in _cells(rotations, probes)(batches):
+        for batch in _cells(threshold, miss, probes)(batches):
             cell, n = np.unique(batch.column("cell").to_numpy(), return_counts=True)
             dim, spin = batch.column("dim")[0].as_py(), batch.column("spin")[0].as_py()
             yield pa.RecordBatch.from_arrays([pa.array(np.full(len(cell), v, np.int32)) for v in (dim, spin)] + [pa.array(cell), pa.array(n)], names=["dim", "spin", "cell", "n"])
@@ -225,17 +236,19 @@ def _led(x: np.ndarray, low: float, high: float):
     return degree, leaders[owner], np.concatenate(out_a or empty), np.concatenate(out_b or empty)
 
 
-def _sub_blocks(x: np.ndarray, low: float, high: float, dim: int):
+def _sub_blocks(x: np.ndarray, low: float, high: float, dim: int, spin: int = 0):
     """Links and degrees of one block: at once if it is small, else by further rotations of
-    two coordinates each whose cells are small; a cell that stays large is a crowd.  Alike
-    vectors meet in several blocks, so one block may miss a pair by INNER_MISS."""
+    two coordinates each whose cells are small; a cell that stays large is a crowd.  One
+    block misses a pair by INNER_MISS; its rotations are those of ``spin``, so blocks of
+    other spins miss it independently."""
     if len(x) <= FULL_ROWS:
         return _full(x, low, high)
     n, chance = len(x), shared_cell_chance(dim, low, 1) ** 2
     turns = max(1, ceil(log(INNER_MISS) / log(1 - chance))) if chance < 1 else 1
     degree, out_a, out_b = np.zeros(n, int), [], []
     for turn in range(turns):
-        key = _top_cells(x @ rotation(dim, 1000 + 2 * turn), 1)[:, 0].astype(np.int64) * (2 * dim) + _top_cells(x @ rotation(dim, 1001 + 2 * turn), 1)[:, 0]
+        number = 1000 + 2 * (spin * turns + turn)
+        key = _top_cells(x @ rotation(dim, number), 1)[:, 0].astype(np.int64) * (2 * dim) + _top_cells(x @ rotation(dim, number + 1), 1)[:, 0]
         order = np.argsort(key, kind="stable")
         starts = np.flatnonzero(np.r_[True, key[order][1:] != key[order][:-1]])
         sizes = np.diff(np.r_[starts, n])
@@ -267,7 +280,7 @@ def _links_of_block(threshold: float) -> Callable[[pd.DataFrame], pd.DataFrame]:
         if len(ids) < 2:
             return pd.DataFrame({"a": ids, "b": ids, "cosine": np.ones(len(ids), np.float32), "degree": np.zeros(len(ids), int)})[:0]
         x = np.frombuffer(b"".join(block["vec"].to_numpy()[first]), np.float16).reshape(len(ids), dim).astype(np.float32)
-        degree, up, a, b = _sub_blocks(x, threshold - ROUNDING, threshold + ROUNDING, dim)
+        degree, up, a, b = _sub_blocks(x, threshold - ROUNDING, threshold + ROUNDING, dim, int(block["spin"].iloc[0]))
         own = np.flatnonzero(degree)
         a, b, degree = np.r_[own, a], np.r_[up[own], b], np.r_[degree[own], np.zeros(len(a), int)]
         cosine = np.minimum(1, np.einsum("ij,ij->i", x[a], x[b])).astype(np.float32)
@@ -292,15 +305,10 @@ def alike_links(vectors: DataFrame, threshold: float, miss: float = 1e-4, probes
     """(a, b, cosine, degree): sparse verified links of distinct vectors; degree is a's largest
     neighbour count in a block where it has this link, and a = b where it is the densest."""
     spark = vectors.sparkSession
-    dims = [r[0] for r in vectors.select(F.size("vec").alias("d")).groupBy("d").count().orderBy(F.desc("count")).limit(1).collect()]
-    if not dims:
-        return spark.createDataFrame([], "a long, b long, cosine float, degree long")
-    chance = shared_cell_chance(dims[0], threshold, probes)
-    spins = 1 if chance >= 1 else max(1, ceil(log(miss) / log(1 - chance)))
-    cells = vectors.mapInArrow(_cells(spins, probes), "dim int, spin int, cell int, rep long, vec binary")
+    cells = vectors.mapInArrow(_cells(threshold, miss, probes), "dim int, spin int, cell int, rep long, vec binary")
     # cells per rotation are few (twice the vectors' length), so their counts are small
     hot = {tuple(r)[:3]: ceil(r["n"] / block_rows) for r in
-           vectors.mapInArrow(_cell_counts(spins, probes), "dim int, spin int, cell int, n long")
+           vectors.mapInArrow(_cell_counts(threshold, miss, probes), "dim int, spin int, cell int, n long")
            .groupBy("dim", "spin", "cell").agg(F.sum("n").alias("n")).where(F.col("n") > block_rows).collect()}
     if hot:
         parts = spark.createDataFrame([(*k, n) for k, n in hot.items()], "dim int, spin int, cell int, parts int")

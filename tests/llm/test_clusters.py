@@ -92,6 +92,45 @@ def test_large_blocks_keep_components(monkeypatch, crowd):
     assert (degree[linked] > 0).all()
 
 
+def pairs_at(seed, n, dim, low, high):
+    """n random pairs with cosines from low to high: row 2k belongs to row 2k + 1."""
+    g = np.random.default_rng(seed)
+    x = unit(g.normal(size=(n, dim)))
+    e = g.normal(size=(n, dim))
+    e = unit(e - (e * x).sum(1, keepdims=True) * x)
+    c = g.uniform(low, high, size=(n, 1))
+    return np.stack([x, c * x + (1 - c**2) ** 0.5 * e], 1).reshape(2 * n, dim)
+
+
+def test_large_blocks_of_other_rotations_miss_other_pairs():
+    x = pairs_at(11, 2500, 48, 0.903, 0.91).astype(np.float32)
+    missed = []
+    for spin in range(clusters.rotations(48, 0.9, 1e-4, 3)):
+        _, up, a, b = clusters._sub_blocks(x, 0.9 - clusters.ROUNDING, 0.9 + clusters.ROUNDING, 48, spin)
+        found = {(min(p), max(p)) for p in zip([*range(len(x)), *a], [*up, *b])}
+        missed.append({k for k in range(0, len(x), 2) if (k, k + 1) not in found})
+    assert max(map(len, missed)) <= 3 * clusters.INNER_MISS * 2500
+    assert not set.intersection(*missed)
+
+
+def test_recall_of_pairs_at_the_threshold_in_cells_above_full_rows(spark):
+    x = pairs_at(12, 12_000, 16, 0.9001, 0.92)
+    _, cells = np.unique(clusters._top_cells(x.astype(np.float32) @ clusters.rotation(16, 0), 3), return_counts=True)
+    assert (cells > clusters.FULL_ROWS).sum() > 16
+    df = spark.createDataFrame([(f"{k:05}", v.tolist(), "x", "y") for k, v in enumerate(x)], SCHEMA)
+    got = {r["id"]: r["cluster_id"] for r in clusters.clusters(df, "id", "vec", 0.9).collect()}
+    lost = [k for k in range(0, len(x), 2) if got.get(f"{k:05}", 0) != got.get(f"{k + 1:05}", 1)]
+    assert len(lost) <= 3
+
+
+def test_each_length_has_its_own_number_of_rotations(spark):
+    few, many = clusters.rotations(2, 0.9, 1e-4, 3), clusters.rotations(384, 0.9, 1e-4, 3)
+    assert few < many
+    vectors = spark.createDataFrame([(k, [1.0, float(k)]) for k in range(5)] + [(9, [1.0] + [0.0] * 383)], "rep long, vec array<double>")
+    got = vectors.mapInArrow(clusters._cells(0.9, 1e-4, 3), "dim int, spin int, cell int, rep long, vec binary").groupBy("dim").agg({"spin": "max"}).collect()
+    assert dict(map(tuple, got)) == {2: few - 1, 384: many - 1}
+
+
 def test_leaders_keep_components_and_links(monkeypatch):
     monkeypatch.setattr(clusters, "FULL_ROWS", 50)
     x = unit(sample(5, centres=10, size=40)).astype(np.float32)
