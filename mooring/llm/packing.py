@@ -8,12 +8,18 @@ index returns the seed's unused neighbours, best first, and those that still fit
 taken; what room is left goes to the largest unused documents that fit.  A document
 larger than the capacity fills containers of its own and its remainder is packed like a
 document.  Shards are independent, so work grows in proportion to the table.
+
+Texts with many copies are spread over all shards, so no shard holds copies only.  Then
+the room left anywhere is offered to documents of anywhere: containers are mixed at random
+into larger groups, and one whose documents all fit into the room that others of its group
+have left is dissolved, those of small documents first.  Rounds with other mixtures follow
+until fill stops rising; what comes out of the index together otherwise stays together.
 """
 
 from __future__ import annotations
 
 import re
-from bisect import bisect_right
+from bisect import bisect_left, bisect_right, insort
 from collections import Counter
 from collections.abc import Iterator
 
@@ -23,10 +29,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from mooring.llm.tokens import TOKENIZERS, encoding
-from mooring.shared import broadcast_array
+from mooring.shared import broadcast_array, materialise
 
 #: Documents of one shard, and of one range partition, which is cut into shards.
 SHARD_DOCS, RANGE_DOCS = 1500, 12_000
+#: Documents of one group of containers that share their room in a round, and the part of the
+#: containers that a round must dissolve for another to follow.
+MIX_DOCS, RISE = 50_000, 1e-4
 #: Buckets of hashed terms in which document frequencies are counted.
 BUCKETS = 1 << 18
 #: BM25's usual parameters.
@@ -135,6 +144,79 @@ def fill(sizes: np.ndarray, capacity: int, index: Index) -> list[list[tuple[int,
     return full
 
 
+def dissolve(box: np.ndarray, tokens: np.ndarray, capacity: int) -> np.ndarray:
+    """The container of each document after those were dissolved whose documents all fit into
+    the room of others; documents go where the least room remains."""
+    order = np.lexsort((-tokens, box))
+    cuts = np.r_[0, np.cumsum(np.bincount(box))]
+    used, out = np.bincount(box, tokens).astype(np.int64), box.copy()
+    room = (capacity - used).tolist()
+    largest = tokens[order[cuts[:-1]]]
+    rooms = sorted((r, b) for b, r in enumerate(room) if r > 0)
+    free, fed = sum(r for r, _ in rooms), np.zeros(len(used), bool)
+    for b in np.lexsort((used, largest)).tolist():
+        if fed[b] or not rooms or free - max(0, room[b]) < used[b]:
+            continue
+        if room[b] > 0:
+            del rooms[bisect_left(rooms, (room[b], b))]
+        moves: list[tuple[int, int, int]] = []
+        for d in order[cuts[b]:cuts[b + 1]].tolist():
+            size = int(tokens[d])
+            at = bisect_left(rooms, (size, -1))
+            if at == len(rooms):
+                break
+            r, to = rooms.pop(at)
+            moves.append((d, to, size))
+            room[to] = r - size
+            if room[to]:
+                insort(rooms, (room[to], to))
+        if len(moves) == cuts[b + 1] - cuts[b]:
+            free -= max(0, room[b]) + int(used[b])
+            for d, to, _ in moves:
+                out[d], fed[to] = to, True
+            continue
+        for d, to, size in reversed(moves):
+            if room[to]:
+                del rooms[bisect_left(rooms, (room[to], to))]
+            room[to] += size
+            insort(rooms, (room[to], to))
+        if room[b] > 0:
+            insort(rooms, (room[b], b))
+    return out
+
+
+def refill(packed: DataFrame, capacities: list[tuple]) -> DataFrame:
+    """``packed`` with fewer containers, a written table: rounds of ``dissolve`` over groups
+    of MIX_DOCS documents, mixed anew each time.  A container of more documents than a group
+    takes no part."""
+    spark, now, last, number = packed.sparkSession, materialise(packed, "packed"), None, 0
+    of = {plan: capacity for plan, capacity in capacities}
+
+    def run(key: tuple, table: pa.Table) -> pa.Table:
+        names, box = np.unique(table.column("container_id").to_numpy(), return_inverse=True)
+        tokens, keep = table.column("tokens").to_numpy(), key[1].as_py() < 0
+        after = box if keep else dissolve(box, tokens, of[key[0].as_py()])
+        table = table.drop_columns(["part"])
+        return table.set_column(table.schema.get_field_index("container_id"), "container_id", pa.array(names[after], pa.string()))
+
+    while True:
+        boxes = now.groupBy("plan_id", "container_id").agg(F.count("*").alias("n"))
+        sums = boxes.groupBy("plan_id").agg(F.count("*").alias("boxes"), F.sum("n").alias("n"), F.max("n").alias("most")).collect()
+        total = sum(r["boxes"] for r in sums)
+        if not total or last is not None and last - total <= RISE * last:
+            return now
+        last, number = total, number + 1
+        parts = spark.createDataFrame([(r["plan_id"], -(-r["n"] // MIX_DOCS)) for r in sums], "plan string, parts long")
+        mixed = now.join(F.broadcast(parts), F.col("plan_id").eqNullSafe(F.col("plan")))
+        part = F.pmod(F.xxhash64("container_id", F.lit(number)), F.col("parts"))
+        if any(r["most"] > MIX_DOCS for r in sums):
+            large = boxes.where(F.col("n") > MIX_DOCS).select("plan_id", "container_id", F.lit(True).alias("large"))
+            mixed = mixed.join(large, ["plan_id", "container_id"], "left")
+            part = F.when(F.col("large"), F.lit(-1) - F.pmod(F.xxhash64("id"), F.col("parts"))).otherwise(part)
+        rows = mixed.select("plan_id", "container_id", "id", "piece", "tokens", part.alias("part"))
+        now = materialise(rows.groupBy("plan_id", "part").applyInArrow(run, packed.schema), "packed")
+
+
 def pack(docs: DataFrame, plans: DataFrame, key: str = "doc_id", text: str = "text", folder: str = TOKENIZERS) -> DataFrame:
     """(plan_id, container_id, id, piece, tokens) for ``plans`` (plan_id, capacity_tokens).
 
@@ -154,7 +236,18 @@ def pack(docs: DataFrame, plans: DataFrame, key: str = "doc_id", text: str = "te
     table = broadcast_array(spark, frequency)
     words = F.split(F.lower("txt"), r"\W+")
     low = [F.array_min(F.transform(words, lambda w, s=s: F.xxhash64(w, F.lit(s)))) for s in (1, 2)]
-    placed = (rows.withColumns({"near": low[0], "nearer": low[1]}).repartitionByRange(max(1, -(-n // RANGE_DOCS)), "near", "nearer", "id")
+    keyed = rows.withColumns({"near": low[0], "nearer": low[1]})
+    copies = rows.groupBy(F.xxhash64("txt").alias("same")).count().where(F.col("count") > SHARD_DOCS // 4).select("same", F.lit(True).alias("copied"))
+    if not copies.isEmpty():
+        # copies get random places among the other texts, evenly between quantiles of theirs
+        keyed = keyed.withColumn("same", F.xxhash64("txt")).join(F.broadcast(copies), "same", "left")
+        steps = [k / 1000 for k in range(1001)]
+        at = keyed.where("copied is null").agg(F.percentile_approx("near", steps, 10_000)).first()[0]
+        if at:
+            spread, k = F.array(*map(F.lit, at)), (F.rand(1) * 1000).cast("int")
+            keyed = keyed.withColumn("k", F.when(F.col("copied"), k)).withColumn("near", F.when(F.col("copied"), (
+                spread[F.col("k")] + F.rand(2) * (spread[F.col("k") + 1].cast("double") - spread[F.col("k")])).cast("long")).otherwise(F.col("near")))
+    placed = (keyed.repartitionByRange(max(1, -(-n // RANGE_DOCS)), "near", "nearer", "id")
               .sortWithinPartitions("near", "nearer", "id").select("id", "txt"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -188,7 +281,8 @@ def pack(docs: DataFrame, plans: DataFrame, key: str = "doc_id", text: str = "te
         if ids:
             yield packed()
 
-    return placed.mapInArrow(run, f"plan_id string, container_id string, id {id_type}, piece int, tokens long")
+    first = placed.mapInArrow(run, f"plan_id string, container_id string, id {id_type}, piece int, tokens long")
+    return refill(first, capacities)
 
 
 def packing_report(packed: DataFrame, plans: DataFrame) -> DataFrame:

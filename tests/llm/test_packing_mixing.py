@@ -69,6 +69,43 @@ def test_neighbours_of_the_seed_come_first():
     assert sorted(d for d, _, _ in boxes[0]) == [0, 2, 4]
 
 
+def fills(spark, rows, capacity):
+    plans = spark.createDataFrame([("p", capacity)], "plan_id string, capacity_tokens long")
+    got = packing.pack(docs(spark, rows), plans)
+    size = {i: len(encoding().encode_ordinary(t)) for i, t in rows}
+    assert {r["id"]: r["tokens"] for r in got.collect()} == size and got.count() == len(rows)
+    boxes = [r["n"] for r in got.groupBy("container_id").agg({"tokens": "sum"}).toDF("c", "n").collect()]
+    assert max(boxes) <= capacity
+    return sum(boxes) / capacity / len(boxes) * 100
+
+
+def test_copies_and_room_of_other_shards_fill_containers(spark, monkeypatch):
+    monkeypatch.setattr(packing, "SHARD_DOCS", 40)
+    monkeypatch.setattr(packing, "RANGE_DOCS", 80)
+    small = [(5000 + k, f"s{k} t{k % 7}") for k in range(1500)]
+    half = max(len(encoding().encode_ordinary(t)) for _, t in small) * 11
+    copies = [(1000 + k, "red " * half) for k in range(120)]
+    assert fills(spark, small + copies, 2 * half - 4) > 90
+    # not copies, but all near each other
+    near = [(2000 + k, "red " * half + f"blue{k % 10}") for k in range(120)]
+    assert fills(spark, small + near, 2 * half - 4) > 90
+
+
+def test_dissolving_keeps_capacity_and_never_adds_containers():
+    g = np.random.default_rng(4)
+    for _ in range(50):
+        tokens = g.integers(1, 40, size=200)
+        box, used = np.zeros(200, int), [0]
+        for d, t in enumerate(tokens):
+            if used[-1] + t > 64 - 20 * (len(used) % 2):
+                used.append(0)
+            used[-1] += t
+            box[d] = len(used) - 1
+        after = packing.dissolve(box, tokens, 64)
+        assert np.bincount(after, tokens).max() <= 64
+        assert len(np.unique(after)) < len(np.unique(box))
+
+
 def test_packing_an_empty_table(spark):
     plans = spark.createDataFrame([("s", 64)], "plan_id string, capacity_tokens long")
     assert packing.pack(docs(spark, []), plans).count() == 0
