@@ -53,7 +53,7 @@ def main(argv: list[str] | None = None) -> int:
     elif a.command == "prepare":
         read = lambda path: spark.read.parquet(path) if path.endswith(".parquet") else records.read_json_list(spark, path)
         qa, corpus = preparation.numbered(read(a.qa), read(a.corpus), a.dataset)
-        vectors = preparation.latent_vectors(preparation.corpus_documents(corpus), a.embedding_dim, min(a.max_features, 2_000))
+        vectors = preparation.latent_vectors(preparation.corpus_documents(corpus), a.embedding_dim, a.max_features, questions=qa)
         records.write_json_lines(preparation.prepare(qa, corpus, a.dataset, a.max_nodes, vectors, a.max_features), a.output)
     elif a.command == "grid":
         grid.run_folder(spark, records.read_examples(spark, a.input, a.limit), a.configs, a.dataset, a.output)

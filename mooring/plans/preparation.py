@@ -197,34 +197,77 @@ def prepare(qa: DataFrame, corpus: DataFrame, dataset: str, max_nodes: int = 600
         F.struct(F.lit(dataset).alias("dataset"), F.col("answers").alias("possible_answers"), F.col("id").alias("raw_id"), F.coalesce(F.size("gold_node_ids"), F.lit(0)).alias("num_gold_nodes")).alias("metadata")))
 
 
-def latent_vectors(docs: DataFrame, dim: int = 128, max_features: int = 2_000, seed: int = 13) -> DataFrame:
+#: Bytes of the block of vectors that a power iteration of latent_vectors broadcasts.
+BASIS_BYTES = 512 << 20
+
+
+def latent_vectors(docs: DataFrame, dim: int = 128, max_features: int | None = 50_000, seed: int = 13, questions: DataFrame | None = None, rounds: int = 8) -> DataFrame:
     """(node_id, embedding): rows of length 1 in the space of the largest ``dim`` singular
-    vectors of the TF-IDF matrix, found by distributed power iteration on its Gram matrix
-    of at most max_features terms (bounded, so it fits one machine)."""
+    vectors of the documents' TF-IDF matrix, found by subspace iteration over its sparse
+    rows.  ``questions`` (question) take part in the terms and their weights.
+
+    A document without any of the terms, or outside that space, gets a vector of zeros.  What is
+    sent around in a round is max_features x (dim + 10) numbers and never a Gram matrix.
+    """
     import numpy as np
+    import pandas as pd
+
+    from mooring.shared import broadcast_array
 
-    w = materialise(tfidf(docs, "node_id", "text", max_features), "tfidf")
+    texts = docs.select(F.concat(F.lit("d"), "node_id").alias("key"), "text")
+    if questions is not None:
+        texts = texts.unionByName(questions.select(F.concat(F.lit("q"), F.monotonically_increasing_id().cast("string")).alias("key"), F.col("question").alias("text")))
+    w = materialise(tfidf(materialise(texts, "texts"), "key", "text", max_features), "tfidf")
     names = [r[0] for r in w.select("term").distinct().orderBy("term").collect()]  # at most max_features
     spark = docs.sparkSession
     codes = F.broadcast(spark.createDataFrame([(t, i) for i, t in enumerate(names)] or [("", 0)], "term string, j int"))
-    coded = w.join(codes, "term").select("key", "j", "w")
-    gram = (coded.select("key", F.col("j").alias("a"), F.col("w").alias("x")).join(coded.select("key", F.col("j").alias("b"), F.col("w").alias("y")), "key")
-            .where("a <= b").groupBy("a", "b").agg(F.sum(F.col("x") * F.col("y")).alias("g")).toPandas())
-    m = np.zeros((len(names), len(names)))
-    m[gram["a"], gram["b"]] = gram["g"]
-    m[gram["b"], gram["a"]] = gram["g"]
-    values, basis = np.linalg.eigh(m)
-    top = basis[:, ::-1][:, :max(1, min(dim, len(names) - 1))]
-    shared = spark.sparkContext.broadcast(top)
-
-    def run(frames):
+    rows = w.where("key like 'd%'").join(codes, "term").groupBy(F.substring("key", 2, 1 << 30).alias("node_id")).agg(F.collect_list(F.struct("j", "w")).alias("r"))
+    rows = materialise(rows.select("node_id", F.col("r.j").alias("j"), F.col("r.w").alias("w")), "rows")
+    n, width = len(names), max(1, min(dim, len(names) - 1, max(2, rows.count() - 1)))
+    block = min(n, width + 10)
+    q = np.linalg.qr(np.random.default_rng(seed).normal(size=(max(1, n), max(1, block))))[0]
+
+    def image(basis):
+        """The Gram matrix times the basis: rows times basis, then their transpose."""
+        shared, columns = broadcast_array(spark, basis, BASIS_BYTES), basis.shape[1]
+
+        def run(frames):
+            out = np.zeros(shared.value.shape)
+            for f in frames:
+                for j, v in zip(f["j"], f["w"]):
+                    j, v = np.asarray(j), np.asarray(v)
+                    out[j] += v[:, None] * (v @ shared.value[j])
+            at = np.flatnonzero(out.any(1))
+            for low in range(0, len(at), 1000):
+                yield pd.DataFrame({"j": at[low:low + 1000], "x": list(out[at[low:low + 1000]])})
+
+        def add(f):
+            j, at = np.unique(f["j"].to_numpy(), return_inverse=True)
+            x = np.zeros((len(j), columns))
+            np.add.at(x, at, np.stack(f["x"]))
+            return pd.DataFrame({"j": j, "x": list(x)})
+
+        parts = rows.select("j", "w").mapInPandas(run, "j long, x array<double>")
+        sums = parts.groupBy((F.col("j") % 64).alias("part")).applyInPandas(add, "j long, x array<double>")
+        got = sums.toPandas()
+        y = np.zeros(basis.shape)
+        if len(got):
+            y[got["j"].to_numpy()] = np.stack(got["x"])
+        shared.unpersist()
+        return y
+
+    for _ in range(rounds if n else 0):
+        q = np.linalg.qr(image(q))[0]
+    values, turn = np.linalg.eigh(q.T @ image(q)) if n else (np.zeros(1), np.eye(1))
+    top = broadcast_array(spark, np.ascontiguousarray((q @ turn[:, ::-1])[:, :width]), BASIS_BYTES)
+
+    def embed(frames):
         for f in frames:
-            x = np.array([np.asarray(v) @ shared.value[np.asarray(j)] for j, v in zip(f["j"], f["w"])]) if len(f) else np.zeros((0, top.shape[1]))
-            n = np.linalg.norm(x, axis=1, keepdims=True)
-            yield f.assign(embedding=list(x / np.where(n > 0, n, 1)))[["node_id", "embedding"]]
+            x = np.array([np.asarray(v) @ top.value[np.asarray(j)] if j is not None and len(j) else np.zeros(width) for j, v in zip(f["j"], f["w"])]).reshape(len(f), width)
+            size = np.linalg.norm(x, axis=1, keepdims=True)
+            yield pd.DataFrame({"node_id": f["node_id"], "embedding": list(x / np.where(size > 0, size, 1))})
 
-    rows = coded.groupBy(F.col("key").alias("node_id")).agg(F.collect_list("j").alias("j"), F.collect_list("w").alias("w"))
-    return rows.mapInPandas(run, "node_id string, embedding array<double>")
+    return docs.select("node_id").join(rows, "node_id", "left").mapInPandas(embed, "node_id string, embedding array<double>")
 
 
 def numbered(qa: DataFrame, corpus: DataFrame, dataset: str) -> tuple[DataFrame, DataFrame]:

@@ -74,3 +74,28 @@ def test_latent_vectors_keep_similarities(spark):
     v = {r["node_id"]: np.array(r["embedding"]) for r in P.latent_vectors(d, 2).collect()}
     assert all(abs(np.linalg.norm(x) - 1) < 1e-9 for x in v.values())
     assert v["d0"] @ v["d1"] > 0.9 > 0.5 > v["d0"] @ v["d2"]
+
+
+def test_latent_vectors_take_all_terms_and_give_every_document_one(spark):
+    r = random.Random(3)
+    words = [f"w{i}" for i in range(60)]
+    docs = [(f"d{i:02}", " ".join(r.choice(words) for _ in range(8))) for i in range(30)] + [("stop", "the of"), ("empty", "")]
+    asked = [f"{r.choice(words)} {r.choice(words)}" for _ in range(9)]
+    d = spark.createDataFrame([(i, "t", t, None, None) for i, t in docs], DOC)
+    q = spark.createDataFrame([(t,) for t in asked], "question string")
+    v = {x["node_id"]: np.array(x["embedding"]) for x in P.latent_vectors(d, 5, None, questions=q, rounds=40).collect()}
+    assert set(v) == {i for i, _ in docs} and not v["stop"].any() and not v["empty"].any()
+
+    def terms(t):
+        w = [x for x in t.split() if x not in P.STOP_WORDS]
+        return Counter(w + [f"{a} {b}" for a, b in zip(w, w[1:])])
+
+    every = [terms(t) for _, t in docs] + [terms(t) for t in asked]
+    df = Counter(t for x in every for t in x)
+    names = sorted(df)
+    m = np.array([[x[t] * (math.log((1 + len(every)) / (1 + df[t])) + 1) for t in names] for x in every])
+    m = (m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-12))[:len(docs)]
+    want = m @ np.linalg.svd(m)[2][:5].T
+    want /= np.maximum(np.linalg.norm(want, axis=1, keepdims=True), 1e-12)
+    got = np.stack([v[i] for i, _ in docs])
+    assert np.allclose(got @ got.T, want @ want.T, atol=1e-3)
