@@ -15,14 +15,18 @@ def parser() -> argparse.ArgumentParser:
     sub = p.add_subparsers(dest="command", required=True)
     for name, args in {
         "run": ("config", "input", "output"), "eval": ("input", "predictions", "output"), "validate-data": ("input",),
-        "prepare": ("qa", "corpus", "output", "dataset"), "grid": ("configs", "input", "output", "dataset"), "summary": ("runs", "csv", "markdown"),
+        "prepare": ("qa", "corpus", "output", "dataset"), "grid": ("input", "output", "dataset"), "summary": ("runs", "csv", "markdown"),
     }.items():
         c = sub.add_parser(name)
         for a in args:
             c.add_argument(f"--{a}", required=True)
         if name in ("run", "eval", "validate-data", "grid"):
             c.add_argument("--limit", type=int)
+        if name == "grid":
+            c.add_argument("--configs", "--config-dir", help="a folder of configurations")
+            c.add_argument("--config-files", nargs="*", help="further configurations")
         if name == "prepare":
+            c.add_argument("--limit", type=int)
             c.add_argument("--max-nodes", type=int, default=600)
             c.add_argument("--embedding-dim", type=int, default=128)
             c.add_argument("--max-features", type=int, default=50_000)
@@ -53,10 +57,12 @@ def main(argv: list[str] | None = None) -> int:
     elif a.command == "prepare":
         read = lambda path: spark.read.parquet(path) if path.endswith(".parquet") else records.read_json_list(spark, path)
         qa, corpus = preparation.numbered(read(a.qa), read(a.corpus), a.dataset)
+        if a.limit is not None:
+            qa = qa.orderBy("ord").limit(a.limit)
         vectors = preparation.latent_vectors(preparation.corpus_documents(corpus), a.embedding_dim, a.max_features, questions=qa)
         records.write_json_lines(preparation.prepare(qa, corpus, a.dataset, a.max_nodes, vectors, a.max_features), a.output)
     elif a.command == "grid":
-        grid.run_folder(spark, records.read_examples(spark, a.input, a.limit), a.configs, a.dataset, a.output)
+        grid.run_folder(spark, records.read_examples(spark, a.input, a.limit), a.configs, a.dataset, a.output, a.config_files)
     else:
         grid.write_summary(grid.summarise(spark, a.runs), a.csv, a.markdown)
     return 0

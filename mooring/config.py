@@ -7,6 +7,7 @@ from dataclasses import dataclass, field, fields, replace
 from pathlib import Path
 from typing import Any
 
+# The names that settings may have, here, and their defaults, in the sections below.
 VARIANTS = ("top_rho", "sample_only", "sample_full_validation", "sample_full_validation_refine", "sample_full_validation_refine_cell_renderer", "adaptive_k")
 RENDERERS = ("old", "anchor_only", "nearest", "cell_top_rho", "global_top_rho")
 MODES = ("current", "title_aware", "diagnostic_subject_title")
@@ -90,6 +91,7 @@ def parse_config(raw: dict[str, Any] | None) -> Config:
     known = {f.name for f in fields(Search)}
     named = [k for k, v in raw.items() if k not in SECTIONS and isinstance(v, dict) and v and set(v) <= known]
     if len(named) == 1 and "search" not in raw:
+        warnings.warn(f"section {named[0]!r} is taken as 'search'", stacklevel=2)
         raw = {"search" if k == named[0] else k: v for k, v in raw.items()}
     if unknown := sorted(set(raw) - set(SECTIONS)):
         raise ValueError(f"unknown sections: {unknown}")

@@ -42,10 +42,11 @@ def title_aware(query: Column, title: Column, text: Column) -> Column:
 
 
 def subject_title(query: Column, title: Column, text: Column, subject: Column) -> Column:
-    """As title_aware; with a subject, .30 of that and .70 if the title is the subject."""
+    """As title_aware; with a subject, .30 of that and .70 if the title is the subject.  An
+    empty subject is one that no title equals; null is none."""
     base, s = title_aware(query, title, text), normalised(subject)
     same = F.when((normalised(title) == s) & (s != ""), 1.0).otherwise(0.0)
-    return F.when(F.coalesce(subject, F.lit("")) == "", base).otherwise(0.30 * base + 0.70 * same)
+    return F.when(subject.isNull(), base).otherwise(0.30 * base + 0.70 * same)
 
 
 def word_count(text: Column) -> Column:

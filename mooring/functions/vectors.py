@@ -42,3 +42,15 @@ def distance_matrix(vectors: np.ndarray, metric: str = "angular") -> np.ndarray:
     d = np.arccos(cos) / np.pi if metric == "angular" else 1 - cos
     np.fill_diagonal(d, 0)
     return d
+
+
+def checked_distances(d: np.ndarray) -> np.ndarray:
+    """``d`` itself, if it can be a distance matrix: square, nowhere below -1e-9 and symmetric
+    to 1e-6."""
+    if d.ndim != 2 or d.shape[0] != d.shape[1]:
+        raise ValueError(f"distances must form a square, not {d.shape}")
+    if d.size and not d.min() >= -1e-9:
+        raise ValueError("distances must be numbers and not negative")
+    if d.size and np.abs(d - d.T).max() > 1e-6:
+        raise ValueError("distances must be symmetric")
+    return d

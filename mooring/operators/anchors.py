@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from mooring.functions import vectors as V
+from mooring.operators.universe import first_in_group
 
 DECIDE = 9
 
@@ -35,8 +36,7 @@ def pair_distances(universe: DataFrame, metric: str = "angular") -> DataFrame:
 
 def top_rho(universe: DataFrame, k: int) -> DataFrame:
     """(query_id, pos, idx): the k eligible nodes of largest mass, lower index on ties."""
-    place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("rho"), "idx"))
-    return universe.where("eligible").withColumn("pos", (place - 1).cast("long")).where(F.col("pos") < k).select("query_id", "pos", "idx")
+    return first_in_group(universe.where("eligible"), ["query_id"], [F.desc("rho"), F.asc("idx")], k, "pos", "idx").select("query_id", "pos", "idx")
 
 
 def anchored(universe: DataFrame, anchors: DataFrame, metric: str = "angular") -> DataFrame:

@@ -117,49 +117,44 @@ def unrefined(p: Problem, anchors, objective: dict[str, float]) -> Refined:
     return Refined(list(anchors), objective, objective, False, [objective["total"]], sizes)
 
 
-def _propose(p: Problem, current: list[int], cell: np.ndarray, candidates: np.ndarray) -> list[int]:
-    """Each cell's best candidate; the lowest index wins ties, the old anchor has no priority."""
-    proposal = list(current)
-    for pos, old in enumerate(current):
-        rows = np.flatnonzero(cell == pos)
-        if not len(rows):
-            continue
-        pool = candidates[cell[candidates] == pos]
-        pool = pool if len(pool) else np.array([old])
-        pool = pool[(pool == old) | ~np.isin(pool, proposal)]
-        if not len(pool):
-            continue
-        price = p.rho[rows] @ p.d[np.ix_(rows, pool)]
-        if p.token_weight > 0:
-            price = price + p.token_weight * p.cost[pool]
-        proposal[pos] = int(pool[int(np.round(price, DECIDE).argmin())])
-    out: list[int] = []
-    for old, new in zip(current, proposal):
-        pick = old if new in out else new
-        if pick not in out:
-            out.append(pick)
-    spare = (int(c) for c in candidates if c not in out)
-    while len(out) < len(current) and (c := next(spare, None)) is not None:
-        out.append(c)
-    return out
+def _best_inside(p: Problem, anchors, cell: np.ndarray, eligible: np.ndarray) -> list[int]:
+    """The anchors after one move.  Every node is priced as its own cell's anchor at once; then
+    each position, in order, takes its cell's cheapest eligible node that no position holds,
+    the lowest index on ties.  What it gives up is free for later positions; a position whose
+    cell offers nothing stays."""
+    mass = np.zeros((len(anchors), len(p.rho)))
+    mass[cell, np.arange(len(cell))] = p.rho
+    price = np.round(mass @ p.d + max(0.0, p.token_weight) * p.cost, DECIDE)
+    held = np.zeros(len(p.rho), bool)
+    held[anchors] = True
+    moved = np.array(anchors)
+    for pos in range(len(moved)):
+        held[moved[pos]] = False
+        offer = np.where(eligible & ~held & (cell == pos), price[pos], np.inf)
+        if np.isfinite(offer.min()):
+            moved[pos] = offer.argmin()
+        held[moved[pos]] = True
+    return moved.tolist()
 
 
 def refine(p: Problem, anchors, candidates, iterations: int = 1) -> Refined:
     """Moves every anchor to its cell's best candidate as long as the objective falls.
     cluster_sizes are those of the last assignment made, none without iterations."""
-    current = list(dict.fromkeys(int(a) for a in anchors))
-    pool = np.unique(np.asarray(candidates, int))
-    before = p.objective(current)
-    done = Refined(current, before, before, False, [before["total"]])
-    for _ in range(iterations if current else 0):
-        cell = assign(done.anchors, p.d)
-        done.cluster_sizes = np.bincount(cell, minlength=len(done.anchors)).tolist()
-        proposal = _propose(p, done.anchors, cell, pool)
-        objective = p.objective(proposal)
-        better = objective["total"] < done.after["total"] - MARGIN
-        if better:
-            done.anchors, done.after, done.accepted = proposal, objective, True
-        done.history.append(done.after["total"])
-        if not better:
-            break
-    return done
+    start = list(dict.fromkeys(int(a) for a in anchors))
+    eligible = np.zeros(len(p.rho), bool)
+    eligible[np.asarray(candidates, int)] = True
+    #: every state reached, each better than the one before
+    trail, sizes, settled = [(start, p.objective(start))], [], not start
+    while not settled and len(trail) <= iterations:
+        (here, value), n = trail[-1], len(start)
+        cell = assign(here, p.d)
+        sizes = np.bincount(cell, minlength=n).tolist()
+        there = _best_inside(p, here, cell, eligible)
+        worth = p.objective(there)
+        settled = worth["total"] >= value["total"] - MARGIN
+        if not settled:
+            trail.append((there, worth))
+    totals = [value["total"] for _, value in trail]
+    last, value = trail[-1]
+    stalled = totals[-1:] if settled and start else []
+    return Refined(last, trail[0][1], value, len(trail) > 1, totals + stalled, sizes)

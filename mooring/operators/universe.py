@@ -10,6 +10,26 @@ from mooring.functions import text as T
 from mooring.shared import materialise
 
 SMOOTHING = 1e-8
+#: The most rows per group for which Spark cuts groups before their shuffle (the default of
+#: spark.sql.optimizer.windowGroupLimitThreshold), and the parts of a group beyond that.
+GROUP_LIMIT, PARTS = 1000, 64
+
+
+def first_in_group(df: DataFrame, group: list[str], order: list, n: int, place: str, spread: str) -> DataFrame:
+    """The first ``n`` rows of every group in ``order``, with their 0-based ``place``.
+
+    Up to GROUP_LIMIT the optimiser cuts every group inside the tasks before the shuffle.
+    Beyond, groups are first cut in PARTS parts by a hash of ``spread``, so that no task sorts
+    a whole hot group; the first n of a group are among the first n of its parts.
+    """
+    rows = df
+    if n > GROUP_LIMIT:
+        part = F.pmod(F.xxhash64(spread), F.lit(PARTS))
+        rows = (df.withColumn("_part", part).withColumn(place, F.row_number().over(Window.partitionBy(*group, "_part").orderBy(*order)))
+                .where(F.col(place) <= n).drop("_part", place))
+    # the bare row number is what the optimiser recognises
+    rows = rows.withColumn(place, F.row_number().over(Window.partitionBy(*group).orderBy(*order))).where(F.col(place) <= n)
+    return rows.withColumn(place, (F.col(place) - 1).cast("long"))
 
 
 def query_nodes(examples: DataFrame) -> DataFrame:
@@ -18,12 +38,14 @@ def query_nodes(examples: DataFrame) -> DataFrame:
     A node's relevance is its highest known one (NaN and negative count as 0), 1.0 if none
     is known; token_count falls back to the text's words; text, title, type and embedding
     are those of any occurrence that has one (the largest, for a definite result).  Null
-    query and node ids give no row.
+    query and node ids give no row.  ``subject`` (see records.with_subject) is kept if the
+    examples have it.
     """
-    rows = examples.select("query_id", "query", F.explode("nodes").alias("n")).where("query_id is not null and n.node_id is not null")
+    own = ["subject"] if "subject" in examples.columns else []
+    rows = examples.select("query_id", "query", *own, F.explode("nodes").alias("n")).where("query_id is not null and n.node_id is not null")
     known = F.when(F.col("n.relevance").isNotNull(), F.greatest(F.nanvl(F.col("n.relevance"), F.lit(0.0)), F.lit(0.0)))
     merged = rows.groupBy("query_id", F.col("n.node_id").alias("node_id")).agg(
-        F.max("query").alias("query"), F.coalesce(F.max(known), F.lit(1.0)).alias("score"), F.max("n.text").alias("text"),
+        F.max("query").alias("query"), *(F.max(c).alias(c) for c in own), F.coalesce(F.max(known), F.lit(1.0)).alias("score"), F.max("n.text").alias("text"),
         F.max("n.metadata.title").alias("title"), F.max("n.node_type").alias("node_type"),
         F.coalesce(F.max("n.is_anchor_candidate"), F.lit(True)).alias("candidate"), F.max("n.token_count").cast("long").alias("tokens"),
         F.max("n.embedding").alias("embedding"))
@@ -41,21 +63,21 @@ def mass_cutoff(nodes: DataFrame, max_nodes: int, min_mass: float) -> DataFrame:
     """The nodes of highest score, through the one whose running sum reaches ``min_mass`` of
     the query's total, at most ``max_nodes``; ``idx`` is the place, 0 first.
 
-    Equal scores go by node_id.  If no score of a query is positive, all count as 1.  Only
-    max_nodes rows of a query leave a task before the running sum is made.
+    Equal scores go by node_id.  If no score of a query is positive, all count as 1.  The
+    running sum is made over max_nodes rows of a query: see first_in_group.
     """
     totals = nodes.groupBy("query_id").agg(F.sum("score").alias("_total"), F.count("*").alias("_count"))
-    place = Window.partitionBy("query_id").orderBy(F.desc("score"), "node_id")
-    top = nodes.withColumn("idx", F.row_number().over(place) - 1).where(F.col("idx") < max_nodes).join(totals, "query_id")
+    top = first_in_group(nodes, ["query_id"], [F.desc("score"), F.asc("node_id")], max_nodes, "idx", "node_id").join(totals, "query_id")
     flat = F.col("_total") <= 0
     mass = F.when(flat, F.lit(1.0)).otherwise(F.col("score"))
     before = F.sum(mass).over(Window.partitionBy("query_id").orderBy("idx").rowsBetween(Window.unboundedPreceding, Window.currentRow)) - mass
     share = F.round(before / F.when(flat, F.col("_count").cast("double")).otherwise(F.col("_total")), 9)
-    return top.withColumn("_share", share).where(F.col("_share") < min_mass).withColumn("idx", F.col("idx").cast("long")).drop("_total", "_count", "_share")
+    return top.withColumn("_share", share).where(F.col("_share") < min_mass).drop("_total", "_count", "_share")
 
 
 def relevance(mode: str, subject: Column | None = None) -> Column:
-    """The score that a relevance mode gives a node of the universe."""
+    """The score that a relevance mode gives a node of the universe; ``subject`` is null where a
+    query has none."""
     if mode == "current":
         return F.col("score")
     if mode == "title_aware":
@@ -65,6 +87,8 @@ def relevance(mode: str, subject: Column | None = None) -> Column:
 
 def with_rho(universe: DataFrame, mode: str = "current", subject: Column | None = None) -> DataFrame:
     """The relevance mass: smoothed scores that sum to 1 within a query."""
+    if subject is None and "subject" in universe.columns:
+        subject = F.col("subject")
     score = F.greatest(F.nanvl(relevance(mode, subject), F.lit(0.0)), F.lit(0.0)) + SMOOTHING
     return universe.withColumn("_s", score).withColumn("rho", F.col("_s") / F.sum("_s").over(Window.partitionBy("query_id"))).drop("_s")
 
@@ -96,12 +120,16 @@ def sampling_chance(universe: DataFrame, uniform_mix: float) -> DataFrame:
     return rows.withColumn("chance", (1 - uniform_mix) * F.col("rho") / F.sum("rho").over(w) + uniform_mix / F.count("*").over(w))
 
 
+def uniform(sample: Column, seed: int) -> Column:
+    """A number in (0, 1) from a hash of query, node, sample and seed."""
+    digest = F.md5(F.concat_ws("|", "query_id", "node_id", sample.cast("string"), F.lit(str(seed))))
+    return (F.conv(F.substring(digest, 1, 13), 16, 10).cast("double") + 0.5) / float(1 << 52)
+
+
 def draw_key(sample: Column, seed: int) -> Column:
     """Weighted sampling without replacement takes the smallest of these keys: exponential
-    variates from a hash of query, node, sample and seed, the same in any partitioning."""
-    digest = F.md5(F.concat_ws("|", "query_id", "node_id", sample.cast("string"), F.lit(str(seed))))
-    u = (F.conv(F.substring(digest, 1, 13), 16, 10).cast("double") + 0.5) / float(1 << 52)
-    return -F.log(u) / F.col("chance")
+    variates from ``uniform``, the same in any partitioning."""
+    return -F.log(uniform(sample, seed)) / F.col("chance")
 
 
 def weighted_samples(universe: DataFrame, config: Config, k: int | None = None, seed: int | None = None) -> DataFrame:

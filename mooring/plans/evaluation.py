@@ -65,16 +65,34 @@ def query_scores(examples: DataFrame, predictions: DataFrame) -> DataFrame:
     return rows.withColumn("context_tokens", F.coalesce(finite(_diagnostic(rows, "final_context_tokens")), F.col("_tokens"), F.lit(0.0)))
 
 
+#: Ranges in which values are counted, each in a task of its own.
+RANGES = 512
+
+
+def counts_before(counts: DataFrame, value: str) -> DataFrame:
+    """``counts`` (value, n), one row per value, with ``before``: the sum of n of all smaller
+    values.  Values lie in RANGES ranges between approximate quantiles; the ranges' sums are
+    added up first (RANGES + 1 rows), and each range then adds its own rows."""
+    steps = F.percentile_approx(value, F.array(*(F.lit(k / RANGES) for k in range(1, RANGES))), 10_000)
+    bounds = counts.agg(F.array_distinct(F.coalesce(steps, F.array().cast("array<double>"))).alias("_bounds"))  # one row of RANGES numbers
+    rows = counts.join(F.broadcast(bounds)).withColumn("_range", F.size(F.filter("_bounds", lambda b: b < F.col(value)))).drop("_bounds")
+    sums = rows.groupBy("_range").agg(F.sum("n").alias("_sum"))
+    every = sums.agg(F.map_from_entries(F.collect_list(F.struct("_range", "_sum"))).alias("_sums"))  # one row of RANGES numbers
+    inside = F.sum("n").over(Window.partitionBy("_range").orderBy(value).rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("n")
+    ahead = F.aggregate(F.map_entries("_sums"), F.lit(0).cast("long"), lambda s, e: s + F.when(e["key"] < F.col("_range"), e["value"]).otherwise(0))
+    offsets = sums.join(F.broadcast(every)).select("_range", ahead.alias("_ahead"))
+    return rows.withColumn("_inside", inside).join(F.broadcast(offsets), "_range").select(value, "n", (F.col("_inside") + F.col("_ahead")).alias("before"))
+
+
 def spearman(pairs: DataFrame, x: str, y: str) -> DataFrame:
     """One row (spearman, reason): Pearson's correlation of mid-ranks; null with a reason for
-    fewer than two pairs or a constant side.  Ranks come from counts of distinct values, so
-    only those, not the pairs, pass through one ordered window."""
+    fewer than two pairs or a constant side.  Ranks come from counts of distinct values, see
+    counts_before."""
     clean = pairs.select(F.col(x).alias("x"), F.col(y).alias("y")).where("x is not null and y is not null")
 
     def ranked(column: str) -> DataFrame:
-        counts = clean.groupBy(column).agg(F.count("*").alias("n"))
-        before = F.sum("n").over(Window.orderBy(column).rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("n")
-        return counts.select(column, (before + (F.col("n") - 1) / 2).alias(f"r{column}"))
+        counts = counts_before(clean.groupBy(column).agg(F.count("*").alias("n")), column)
+        return counts.select(column, (F.col("before") + (F.col("n") - 1) / 2).alias(f"r{column}"))
 
     joined = clean.join(ranked("x"), "x").join(ranked("y"), "y")
     sums = joined.agg(F.count("*").alias("n"), F.min("x").alias("lx"), F.max("x").alias("hx"), F.min("y").alias("ly"), F.max("y").alias("hy"), F.try_divide(F.covar_pop("rx", "ry"), F.stddev_pop("rx") * F.stddev_pop("ry")).alias("c"))

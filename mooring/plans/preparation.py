@@ -9,6 +9,12 @@ from pyspark.sql import functions as F
 
 from mooring.functions.text import word_count
 from mooring.shared import materialise
+from mooring.sources.records import with_ordinal
+
+
+class RawDataError(ValueError):
+    """Raw questions or documents that can't be made into examples."""
+
 
 #: English function words that carry no weight: a default, every function takes another list.
 STOP_WORDS = tuple((
@@ -134,7 +140,8 @@ def _block_top(n: int):
 
 def tfidf_top(questions: DataFrame, docs: DataFrame, n: int, max_features: int | None = None) -> DataFrame:
     """(id, node_id, sim, place): the n documents of highest TF-IDF cosine for every question,
-    fitted on both; documents that share no term aren't listed.
+    fitted on both, equal ones by node_id.  Where fewer than n share a term with a question,
+    those of smallest node_id follow with 0, so that every question has n or all documents.
 
     Blocks of questions meet blocks of documents' postings, and only each block's best leave
     it, so what is shuffled doesn't grow with the number of matching pairs.
@@ -159,7 +166,14 @@ def tfidf_top(questions: DataFrame, docs: DataFrame, n: int, max_features: int |
     names = docs.select("node_id", F.xxhash64(F.concat(F.lit("d"), "node_id")).alias("d"))
     named = close.join(ids, "q").join(names, "d")
     place = F.row_number().over(Window.partitionBy("id").orderBy(F.desc(rounded), "node_id"))
-    return named.withColumn("place", place.cast("long")).where(F.col("place") <= n).select("id", "node_id", "sim", "place")
+    best = materialise(named.withColumn("place", place).where(F.col("place") <= n).select("id", "node_id", "sim", F.col("place").cast("long").alias("place")), "best")
+    # a question lists n at most, so what fills it up is among the first 2 n documents
+    first = docs.select("node_id").orderBy("node_id").limit(2 * n).agg(F.sort_array(F.collect_list("node_id")).alias("first"))
+    listed = best.groupBy("id").agg(F.collect_list("node_id").alias("listed"))
+    short = (questions.where("id is not null").select("id").distinct().join(listed, "id", "left").withColumn("listed", F.coalesce("listed", F.array().cast("array<string>")))
+             .where(F.size("listed") < n).join(F.broadcast(first)))  # one row of 2 n ids
+    more = short.select("id", F.size("listed").alias("have"), F.posexplode(F.slice(F.array_except("first", "listed"), F.lit(1), F.lit(n) - F.size("listed"))).alias("i", "node_id"))
+    return best.unionByName(more.select("id", "node_id", F.lit(0.0).alias("sim"), (F.col("have") + F.col("i") + 1).cast("long").alias("place")))
 
 
 def merged_universe(top: DataFrame, gold: DataFrame, cap: int) -> DataFrame:
@@ -179,8 +193,8 @@ def prepare(qa: DataFrame, corpus: DataFrame, dataset: str, max_nodes: int = 600
     """Examples of the record format: one row per question with its nodes and gold ids.
 
     ``vectors`` (node_id, embedding) gives the nodes' embeddings; see latent_vectors.
-    Questions with a null id are numbered by nothing and left out; a null question has no
-    candidates beyond its gold documents.
+    Questions with a null id are left out (``numbered`` gives raw ones their place); a null
+    question counts as an empty one, whose candidates are the documents of smallest id.
     """
     docs = materialise(corpus_documents(corpus), "docs")
     asked = materialise(answers(qa.where("id is not null").dropDuplicates(["id"])), "qa")
@@ -271,18 +285,26 @@ def latent_vectors(docs: DataFrame, dim: int = 128, max_features: int | None = 5
 
 
 def numbered(qa: DataFrame, corpus: DataFrame, dataset: str) -> tuple[DataFrame, DataFrame]:
-    """Raw question and corpus lists in the columns that the steps above expect: aliases are
-    resolved, and documents without an id get ``dataset:doc:<place>``.  Such lists are single
-    files, read by one task, so their rows' places are its counter."""
+    """Raw question and corpus lists in the columns that the steps above expect, with their
+    places ``ord``: aliases are resolved, a question without any id is named by its place,
+    documents without ids ``dataset:doc:<place>``.  A question without text, a document
+    without title and text, and an empty corpus are errors."""
     def either(df: DataFrame, *names: str) -> Column:
         return F.coalesce(*(F.col(n).cast("string") for n in names if n in df.columns), F.lit(None).cast("string"))
 
-    place = F.monotonically_increasing_id()
+    if corpus.isEmpty():
+        raise RawDataError("the corpus is empty")
+    qa, corpus = with_ordinal(qa), with_ordinal(corpus)
+    place = F.col("ord").cast("string")
     question = qa.withColumns({
-        "id": F.coalesce(either(qa, "query_id", "qid", "id", "_id"), place.cast("string")), "question": either(qa, "query", "question"),
+        "id": F.coalesce(either(qa, "query_id", "qid", "id", "_id"), place),
+        "question": F.coalesce(either(qa, "query", "question"), F.raise_error(F.concat(F.lit("no question in item "), place)).cast("string")),
         "possible_answers": F.to_json("possible_answers") if dict(qa.dtypes).get("possible_answers", "").startswith("array") else either(qa, "possible_answers")})
+    title, text = either(corpus, "title"), F.coalesce(blank_to_null(either(corpus, "text")), either(corpus, "content"))
+    void = (F.coalesce(title, F.lit("")) == "") & (F.coalesce(text, F.lit("")) == "")
     docs = corpus.withColumns({
-        "node_id": either(corpus, "node_id") if "node_id" in corpus.columns else F.concat(F.lit(f"{dataset}:doc:"), place.cast("string")),
-        "title": either(corpus, "title"), "text": F.coalesce(blank_to_null(either(corpus, "text")), either(corpus, "content")),
+        "node_id": F.when(void, F.raise_error(F.concat(F.lit("neither title nor text in document "), place)).cast("string")).otherwise(
+            either(corpus, "node_id") if "node_id" in corpus.columns else F.concat(F.lit(f"{dataset}:doc:"), place)),
+        "title": title, "text": text,
         "added_at": F.col("added_at") if "added_at" in corpus.columns else F.lit(None).cast("timestamp")})
     return question, docs

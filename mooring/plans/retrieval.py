@@ -8,7 +8,6 @@ indices, masses, sizes and vectors go into it; texts don't.
 
 from __future__ import annotations
 
-import hashlib
 import time
 from collections.abc import Iterator
 from typing import Any
@@ -21,10 +20,11 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
 from mooring.config import Config
-from mooring.functions.vectors import distance_matrix
+from mooring.functions.vectors import checked_distances, distance_matrix
 from mooring.operators import render as R
 from mooring.operators import search as S
-from mooring.operators.universe import build_universe, merged_nodes
+from mooring.operators.universe import build_universe, merged_nodes, uniform
+from mooring.sources.records import with_subject
 
 OBJECTIVE = "struct<total:double,coverage:double,token_penalty:double,anchor_penalty:double>"
 DIAGNOSTICS = (
@@ -42,18 +42,23 @@ KERNEL = ("query_id string, anchor_node_ids array<string>, anchor_ids array<stri
 POLICY = "anchors_then_cell_top_rho_then_score_fill"
 
 
-def draw(query_id: str, node_ids: list[str], chance: np.ndarray, size: int, samples: int, seed: int) -> list[np.ndarray]:
-    """Weighted samples without replacement by the keys of universe.draw_key, each sorted."""
-    out = []
-    for sample in range(samples):
-        digits = [hashlib.md5(f"{query_id}|{n}|{sample}|{seed}".encode()).hexdigest()[:13] for n in node_ids]
-        u = (np.array([int(x, 16) for x in digits], float) + 0.5) / float(1 << 52)
-        out.append(np.sort(np.lexsort((np.arange(len(u)), -np.log(u) / chance))[:size]))
-    return out
+def draw(uniform: np.ndarray, chance: np.ndarray, size: int) -> list[np.ndarray]:
+    """Weighted samples without replacement, each sorted, from one row of uniform numbers (see
+    universe.uniform) a sample: the ``size`` smallest of their exponential keys."""
+    order = np.arange(len(chance))
+    return [np.sort(np.lexsort((order, key))[:size]) for key in -np.log(uniform) / chance]
 
 
-def search_once(q: dict[str, Any], c: Config, k: int, seed: int) -> dict[str, Any]:
-    """One query's result for a fixed k."""
+def seeds(c: Config) -> list[int]:
+    """The seeds of a run's draws: one for a fixed k, else one for each k from 1 to k_max."""
+    s, seed = c.search, c.experiment.seed
+    if s.retrieval_variant == "top_rho":
+        return []
+    return [seed + 1009 * k for k in range(1, s.k_max + 1)] if s.auto_k or s.retrieval_variant == "adaptive_k" else [seed]
+
+
+def search_once(q: dict[str, Any], c: Config, k: int, turn: int = 0) -> dict[str, Any]:
+    """One query's result for a fixed k; ``turn`` is the place of its seed among ``seeds``."""
     s, p = c.search, q["problem"]
     candidates = np.flatnonzero(q["eligible"])
     k = min(k, len(candidates))
@@ -68,11 +73,10 @@ def search_once(q: dict[str, Any], c: Config, k: int, seed: int) -> dict[str, An
         mass = p.rho[candidates]
         chance = (1 - s.sample_uniform_mix) * mass / mass.sum() + s.sample_uniform_mix / len(mass)
         size = min(len(candidates), max(k, min(s.sample_size_cap, s.sample_size_per_k * k)))
-        ids = [q["ids"][i] for i in candidates]
         if size == len(candidates):  # every draw takes them all
             samples = [candidates] * s.num_samples
         else:
-            samples = [candidates[x] for x in draw(q["query_id"], ids, chance, size, s.num_samples, seed)]
+            samples = [candidates[x] for x in draw(q["uniform"][turn, :, candidates].T, chance, size)]
         known: dict[bytes, tuple] = {}
         for x in samples:
             if x.tobytes() not in known:
@@ -111,16 +115,16 @@ def search_once(q: dict[str, Any], c: Config, k: int, seed: int) -> dict[str, An
 
 
 def search(q: dict[str, Any], c: Config) -> dict[str, Any]:
-    """One query's result: a fixed k, or the best of 1 to k_max."""
-    s, seed = c.search, c.experiment.seed
+    """One query's result: a fixed k, or the best of 1 to k_max, the smaller on ties."""
+    s = c.search
     adaptive = s.retrieval_variant == "adaptive_k"
     if not adaptive and not s.auto_k:
-        return search_once(q, c, s.k, seed)
+        return search_once(q, c, s.k)
     best, least = None, np.inf
     for k in range(1, min(s.k_max, len(q["ids"])) + 1):
-        result = search_once(q, c, k, seed + 1009 * k)
+        result = search_once(q, c, k, k - 1)
         score = result["objective_after_refinement"] + (s.lambda_k * len(result["anchor_node_ids"]) if adaptive else 0)
-        if score < least:
+        if round(score, S.DECIDE) < round(least, S.DECIDE):
             best, least = result, score
     if adaptive:
         best["diagnostics"] |= {"selected_k": len(best["anchor_node_ids"]), "adaptive_k_score": least}
@@ -128,7 +132,7 @@ def search(q: dict[str, Any], c: Config) -> dict[str, Any]:
 
 
 def _kernel(c: Config):
-    schema = to_arrow_schema(StructType.fromDDL(KERNEL))
+    schema, turns = to_arrow_schema(StructType.fromDDL(KERNEL)), len(seeds(c))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -141,9 +145,10 @@ def _kernel(c: Config):
                 n = len(nodes)
                 x = vectors.flatten().to_numpy(zero_copy_only=False).reshape(n, -1)
                 tokens = field("tokens").to_numpy()
-                problem = S.Problem(distance_matrix(x, c.distance.metric), field("rho").to_numpy(), np.maximum(1, tokens) / 1000.0, c.search.token_weight, c.search.anchor_penalty)
+                problem = S.Problem(checked_distances(distance_matrix(x, c.distance.metric)), field("rho").to_numpy(), np.maximum(1, tokens) / 1000.0, c.search.token_weight, c.search.anchor_penalty)
                 q = {"query_id": batch.column("query_id")[row].as_py(), "ids": field("node_id").to_pylist(), "tokens": tokens,
-                     "eligible": field("eligible").to_numpy(zero_copy_only=False), "problem": problem}
+                     "eligible": field("eligible").to_numpy(zero_copy_only=False), "problem": problem,
+                     "uniform": field("uniform").flatten().to_numpy(zero_copy_only=False).reshape(n, turns, -1).transpose(1, 2, 0) if turns else None}
                 out.append(search(q, c) | {"latency_ms": round((time.perf_counter() - started) * 1000, 3)})
             yield pa.RecordBatch.from_pylist(out, schema=schema)
 
@@ -164,10 +169,12 @@ def support(results: DataFrame, gold: DataFrame, column: str, prefix: str) -> Da
     return hits
 
 
-def nested(universe: DataFrame) -> DataFrame:
-    """(query_id, nodes): one row per query, its candidate set ordered by index."""
+def nested(universe: DataFrame, config: Config) -> DataFrame:
+    """(query_id, nodes): one row per query, its candidate set ordered by index, each node with
+    the uniform numbers of its draws, seed by seed and sample by sample."""
+    draws = [uniform(F.lit(sample), seed) for seed in seeds(config) for sample in range(config.search.num_samples)]
     return universe.groupBy("query_id").agg(F.sort_array(F.collect_list(
-        F.struct("idx", "node_id", "rho", "tokens", "eligible", F.col("embedding").cast("array<double>").alias("embedding")))).alias("nodes"))
+        F.struct("idx", "node_id", "rho", "tokens", "eligible", F.col("embedding").cast("array<double>").alias("embedding"), F.array(*draws).cast("array<double>").alias("uniform")))).alias("nodes"))
 
 
 def retrieve(examples: DataFrame, config: Config, subject: Column | None = None, nodes: DataFrame | None = None) -> DataFrame:
@@ -176,7 +183,8 @@ def retrieve(examples: DataFrame, config: Config, subject: Column | None = None,
     Rows of one query are merged first, so delivered repetitions don't matter.  Results
     don't depend on the order or partitioning of the input: draws are keyed by query, node
     and seed.  ``limit_queries`` keeps the first queries by id.  ``nodes`` may be the examples'
-    merged nodes, if several runs share them.
+    merged nodes, if several runs share them.  The subject of the diagnostic mode is the
+    examples' own (see records.with_subject) unless ``subject`` names another column.
     """
     if config.experiment.limit_queries:
         first = examples.select("query_id").where("query_id is not null").distinct().orderBy("query_id").limit(config.experiment.limit_queries)
@@ -184,7 +192,7 @@ def retrieve(examples: DataFrame, config: Config, subject: Column | None = None,
         nodes = nodes.join(first, "query_id", "left_semi") if nodes is not None else None
     # searching is most of the work: queries are spread over all tasks, not coalesced by their bytes
     tasks = int(examples.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    results = nested(build_universe(merged_nodes(examples) if nodes is None else nodes, config, subject)).repartition(tasks, "query_id").mapInArrow(_kernel(config), KERNEL)
+    results = nested(build_universe(merged_nodes(with_subject(examples)) if nodes is None else nodes, config, subject), config).repartition(tasks, "query_id").mapInArrow(_kernel(config), KERNEL)
     gold = gold_of(examples)
     sizes = gold.groupBy("query_id").agg(F.count("*").alias("golds"))
     scored = results.join(support(results, gold, "context_node_ids", "c"), "query_id", "left").join(sizes, "query_id", "left")

@@ -16,6 +16,7 @@ from mooring.plans import evaluation as E
 from mooring.plans import preparation as P
 from mooring.plans.retrieval import retrieve
 from mooring.shared import materialise
+from mooring.sources.records import validate
 
 DEFAULT = Config()
 #: A small budget, so that budgets bind.
@@ -52,12 +53,10 @@ def title_match_class(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _mass(spark: SparkSession, sf: str, mode: str, subject: bool = False) -> DataFrame:
-    nodes = U.merged_nodes(_read(spark, sf, "examples"))
-    if subject:  # the answer stands in for the subject, which the table hasn't
-        answers = _read(spark, sf, "examples").where("query_id is not null").groupBy("query_id").agg(F.max("answer").alias("subject"))
-        nodes = nodes.join(answers, "query_id", "left")
+    examples = _read(spark, sf, "examples")
+    nodes = U.merged_nodes(examples.withColumn("subject", F.col("answer")) if subject else examples)
     cut = U.mass_cutoff(U.with_embedding(nodes), DEFAULT.universe.max_nodes, DEFAULT.universe.min_relevance_mass)
-    return U.with_rho(cut, mode, F.col("subject") if subject else None).select("query_id", "idx", "node_id", _r("rho", 9).alias("rho"))
+    return U.with_rho(cut, mode).select("query_id", "idx", "node_id", _r("rho", 9).alias("rho"))
 
 
 def relevance_mass_current(spark: SparkSession, sf: str) -> DataFrame:
@@ -175,7 +174,10 @@ def render_text(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _run(spark: SparkSession, sf: str, config: Config) -> DataFrame:
-    rows = retrieve(_read(spark, sf, "examples"), config)
+    examples = _read(spark, sf, "examples")
+    if config.search.relevance_mode == "diagnostic_subject_title":  # the answer stands in for the subject, which the table hasn't
+        examples = examples.withColumn("subject", F.col("answer"))
+    rows = retrieve(examples, config)
     d = "diagnostics"
     return rows.select("query_id", "anchor_node_ids", "context_node_ids", _r("objective_before_refinement").alias("before"), _r("objective_after_refinement").alias("after"),
                        _r("support_recall").alias("support_recall"), "support_hit", "exact_phase1", F.col(f"{d}.num_universe_nodes").cast("long").alias("nodes"),
@@ -193,6 +195,7 @@ RUNS = {
     "retrieval_refine": {"retrieval_variant": "sample_full_validation_refine"},
     "retrieval_refine_cell": {"retrieval_variant": "sample_full_validation_refine_cell_renderer"},
     "retrieval_title_aware": {"relevance_mode": "title_aware", "renderer": "nearest"},
+    "retrieval_subject_title": {"relevance_mode": "diagnostic_subject_title", "k": 2},
     "retrieval_adaptive_k": {"retrieval_variant": "adaptive_k", "lambda_k": 0.01},
     "retrieval_auto_k": {"auto_k": True},
     "retrieval_greedy": {"max_exact_combinations": 10, "require_exact_sample_search": False},
@@ -239,9 +242,7 @@ def objective_spearman(spark: SparkSession, sf: str) -> DataFrame:
 
 def validate_counts_dims(spark: SparkSession, sf: str) -> DataFrame:
     """Rows, queries, and distinct embedding lengths."""
-    rows = _read(spark, sf, "examples")
-    dims = rows.select(F.explode("nodes.embedding").alias("e")).agg(F.sort_array(F.collect_set(F.size("e").cast("long"))).alias("dims"))
-    return rows.agg(F.count("*").alias("num_rows"), F.countDistinct("query_id").alias("num_queries")).crossJoin(F.broadcast(dims))  # one row each
+    return validate(_read(spark, sf, "examples")).withColumnsRenamed({"num_examples": "num_rows", "embedding_dims": "dims"})
 
 
 def qa_answers(spark: SparkSession, sf: str) -> DataFrame:
@@ -286,11 +287,19 @@ def prepared_examples(spark: SparkSession, sf: str) -> DataFrame:
     return rows.select("query_id", "query", "answer", F.transform("nodes", lambda n: n["node_id"]).alias("node_ids"), "gold_node_ids", F.size("nodes").cast("long").alias("nodes"))
 
 
+def latent_lengths(spark: SparkSession, sf: str) -> DataFrame:
+    """Every corpus document's vector: its number of elements and its length."""
+    docs = materialise(P.corpus_documents(_read(spark, sf, "corpus")), "docs")
+    qa = _read(spark, sf, "qa").where("id is not null").dropDuplicates(["id"]).select(F.coalesce("question", F.lit("")).alias("question"))
+    vectors = P.latent_vectors(docs, 32, questions=qa, rounds=3)
+    return vectors.select("node_id", F.size("embedding").cast("long").alias("elements"), _r(F.sqrt(F.aggregate("embedding", F.lit(0.0), lambda s, x: s + x * x))).alias("length"))
+
+
 _FUNCTIONS = (
     retrieval_top_rho, lexical_overlap_topn, title_match_class, title_aware_mass, subject_title_mass, universe_mass_cutoff, relevance_mass_current, candidate_filter_fallback,
     sample_probabilities, weighted_samples, angular_distance, cosine_distance, top_rho_anchors, objective_given_anchors, exact_k1_search, exact_k2_search, assign_nearest_anchor,
     cluster_sizes, cell_top_rho_pick, nearest_per_anchor, score_fill_order, refine_one_step, render_text, prediction_last_row, context_metrics, anchor_metrics, eval_summary,
-    objective_spearman, validate_counts_dims, qa_answers, gold_alignment, gold_counts, tfidf_topn, universe_merge, prepared_examples)
+    objective_spearman, validate_counts_dims, qa_answers, gold_alignment, gold_counts, tfidf_topn, universe_merge, prepared_examples, latent_lengths)
 QUERIES = {f.__name__: f for f in _FUNCTIONS}
 QUERIES |= {f"render_{r}": partial(_context, renderer=r) for r in ("anchor_only", "global_top_rho", "nearest", "cell_top_rho", "old")}
 QUERIES |= {name: partial(_run, config=COMPACT.with_search(**values)) for name, values in RUNS.items()}

@@ -31,11 +31,11 @@ def _match(q: str, t: str) -> str:
 _JOINED = "(coalesce(title, '') || ' ' || coalesce(text, ''))"
 _TITLE_AWARE = f"(0.30 * {_overlap('query', 'title')} + 0.25 * {_match('query', 'title')} + 0.45 * {_overlap('query', _JOINED)})"
 _SAME_TITLE = f"(CASE WHEN {_norm('title')} = {_norm('subject')} AND {_norm('subject')} <> '' THEN 1.0 ELSE 0.0 END)"
-_SUBJECT = f"(CASE WHEN coalesce(subject, '') = '' THEN {_TITLE_AWARE} ELSE 0.30 * {_TITLE_AWARE} + 0.70 * {_SAME_TITLE} END)"
+_SUBJECT = f"(CASE WHEN subject IS NULL THEN {_TITLE_AWARE} ELSE 0.30 * {_TITLE_AWARE} + 0.70 * {_SAME_TITLE} END)"
 
 NODES = rf"""
     entries AS (SELECT query_id, query, answer, unnest(nodes) AS n FROM examples WHERE query_id IS NOT NULL),
-    merged AS (SELECT query_id, n.node_id AS node_id, max(query) AS query,
+    merged AS (SELECT query_id, n.node_id AS node_id, max(query) AS query, max(answer) AS subject,
         coalesce(max(CASE WHEN n.relevance IS NULL THEN NULL WHEN isnan(n.relevance) THEN 0.0 ELSE greatest(n.relevance, 0.0) END), 1.0) AS score,
         max(n.text) AS text, max(n.metadata.title) AS title, coalesce(max(n.node_type), 'chunk') AS node_type, coalesce(bool_or(n.is_anchor_candidate), true) AS candidate,
         max(n.token_count) AS tok, max(n.embedding) AS embedding FROM entries WHERE n.node_id IS NOT NULL GROUP BY 1, 2),
@@ -55,18 +55,26 @@ def _rho(score: str, source: str = "cut") -> str:
     return (f"SELECT *, s / sum(s) OVER (PARTITION BY query_id) AS rho FROM (SELECT *, greatest(CASE WHEN isnan({score}) THEN 0.0 ELSE {score} END, 0.0) + 1e-8 AS s FROM {source})")
 
 
-BASE_SQL = UNIVERSE + f""",
-    massed AS ({_rho('score')}),
+def _base(score: str = "score") -> str:
+    return UNIVERSE + f""",
+    massed AS ({_rho(score)}),
     uni AS (SELECT *, CASE WHEN bool_or(fits) OVER (PARTITION BY query_id) THEN fits ELSE true END AS eligible, tokens / 1000.0 AS cost
         FROM (SELECT *, candidate AND node_type IN ('chunk', 'sentence') AS fits FROM massed))"""
 
-CHANCES = BASE_SQL + """,
+BASE_SQL = _base()
+
+
+def _chances(score: str = "score") -> str:
+    return _base(score) + """,
     chances AS (SELECT *, 0.85 * rho / sum(rho) OVER (PARTITION BY query_id) + 0.15 / count(*) OVER (PARTITION BY query_id) AS chance FROM uni WHERE eligible)"""
 
 
-def _samples(size: int) -> str:
-    return CHANCES + f""",
-    drawn AS (SELECT *, -ln((('0x' || substr(md5(concat_ws('|', query_id, node_id, sample::VARCHAR, '42')), 1, 13))::BIGINT + 0.5) / 4503599627370496.0) / chance AS key
+CHANCES = _chances()
+
+
+def _samples(size: int, score: str = "score", seed: int = 42) -> str:
+    return _chances(score) + f""",
+    drawn AS (SELECT *, -ln((('0x' || substr(md5(concat_ws('|', query_id, node_id, sample::VARCHAR, '{seed}')), 1, 13))::BIGINT + 0.5) / 4503599627370496.0) / chance AS key
         FROM chances, range(5) r(sample)),
     samples AS (SELECT * FROM drawn QUALIFY row_number() OVER (PARTITION BY query_id, sample ORDER BY key, idx) <= {size})"""
 
@@ -191,7 +199,8 @@ _TFIDF = rf"""
     dfs AS (SELECT term, count(*) AS df FROM counts GROUP BY 1),
     weights AS (SELECT key, term, tf * (ln((1.0 + (SELECT count(*) FROM texts)) / (1.0 + df)) + 1) AS w FROM counts JOIN dfs USING (term)),
     unit AS (SELECT key, term, w / sqrt(sum(w * w) OVER (PARTITION BY key)) AS w FROM weights),
-    sims AS (SELECT substr(q.key, 2) AS id, substr(d.key, 2) AS node_id, sum(q.w * d.w) AS sim FROM unit q JOIN unit d ON q.term = d.term AND q.key[1] = 'q' AND d.key[1] = 'd' GROUP BY 1, 2),
+    matches AS (SELECT substr(q.key, 2) AS id, substr(d.key, 2) AS node_id, sum(q.w * d.w) AS sim FROM unit q JOIN unit d ON q.term = d.term AND q.key[1] = 'q' AND d.key[1] = 'd' GROUP BY 1, 2),
+    sims AS (SELECT id, node_id, coalesce(sim, 0.0) AS sim FROM (SELECT id FROM one_qa) CROSS JOIN (SELECT node_id FROM doc) LEFT JOIN matches USING (id, node_id)),
     top AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY round(sim, 9) DESC, node_id) AS place FROM sims QUALIFY place <= 10)"""
 _MERGE = """
     golden AS (SELECT DISTINCT id, node_id, true AS is_gold FROM aligned WHERE node_id IS NOT NULL),
@@ -226,8 +235,8 @@ def _best(size: int, sums: str) -> str:
 SELECT query_id, sample, a, b, total FROM sums QUALIFY row_number() OVER (PARTITION BY query_id, sample ORDER BY total, a, b) = 1"""
 
 
-def _mass(score: str, extra: str = "", source: str = "cut") -> str:
-    return f"WITH {UNIVERSE}{extra}, m AS ({_rho(score, source)}) SELECT query_id, idx, node_id, round(rho, 9) AS rho FROM m"
+def _mass(score: str) -> str:
+    return f"WITH {UNIVERSE}, m AS ({_rho(score)}) SELECT query_id, idx, node_id, round(rho, 9) AS rho FROM m"
 
 
 
@@ -238,8 +247,25 @@ def _total(n: str) -> str:
         JOIN (SELECT query_id, sum(cost) AS t FROM anchors{n} GROUP BY 1) USING (query_id))"""
 
 
-def _searched(k: int, variant: str, renderer: str) -> str:
-    """A run with sampling: exact search of every sample by joins, choice of a sample, and one
+#: A greedy search of three anchors, for samples of more than five nodes.
+_GREEDY = """
+    g1 AS (SELECT * FROM (SELECT query_id, sample, a AS a0, round(sum(mass * d) + 0.03 * any_value(ca), 9) AS s FROM dist GROUP BY 1, 2, 3)
+        QUALIFY row_number() OVER (PARTITION BY query_id, sample ORDER BY s, a0) = 1),
+    near1 AS (SELECT d.query_id, d.sample, v, d FROM dist d JOIN g1 ON d.query_id = g1.query_id AND d.sample = g1.sample AND d.a = a0),
+    g2 AS (SELECT * FROM (SELECT d.query_id, d.sample, a AS a1, round(sum(mass * least(d.d, n.d)) + 0.03 * any_value(ca), 9) AS s FROM dist d JOIN near1 n USING (query_id, sample, v)
+        JOIN g1 USING (query_id, sample) WHERE a <> a0 GROUP BY 1, 2, 3) QUALIFY row_number() OVER (PARTITION BY query_id, sample ORDER BY s, a1) = 1),
+    near2 AS (SELECT d.query_id, d.sample, d.v, least(d.d, n.d) AS d FROM dist d JOIN g2 ON d.query_id = g2.query_id AND d.sample = g2.sample AND d.a = a1
+        JOIN near1 n ON n.query_id = d.query_id AND n.sample = d.sample AND n.v = d.v),
+    g3 AS (SELECT * FROM (SELECT d.query_id, d.sample, a AS a2, round(sum(mass * least(d.d, n.d)) + 0.03 * any_value(ca), 9) AS s FROM dist d JOIN near2 n USING (query_id, sample, v)
+        JOIN g1 USING (query_id, sample) JOIN g2 USING (query_id, sample) WHERE a <> a0 AND a <> a1 GROUP BY 1, 2, 3) QUALIFY row_number() OVER (PARTITION BY query_id, sample ORDER BY s, a2) = 1),
+    grown AS (SELECT query_id, sample, list_sort([a0, a1, a2]) AS l FROM g1 JOIN g2 USING (query_id, sample) JOIN g3 USING (query_id, sample)),
+    sizes_of AS (SELECT query_id, sample, count(*) AS n FROM samples GROUP BY 1, 2),
+    picked AS (SELECT query_id, sample, CASE WHEN n > 5 THEN l[1] ELSE a0 END AS a0, CASE WHEN n > 5 THEN l[2] ELSE a1 END AS a1, CASE WHEN n > 5 THEN l[3] ELSE a2 END AS a2
+        FROM picked_exact FULL JOIN grown USING (query_id, sample) JOIN sizes_of USING (query_id, sample)),"""
+
+
+def _searched(k: int, variant: str, renderer: str, score: str = "score", seed: int = 42, greedy: bool = False) -> str:
+    """A run with sampling: search of every sample by joins, choice of a sample, and one
     refinement step; queries with at most k candidates take them all."""
     names, tables = [f"a{i}" for i in range(k)], [f"x{i}" for i in range(k)]
     joins = " ".join(f"JOIN dist {t} ON {t}.query_id = x0.query_id AND {t}.sample = x0.sample AND {t}.v = x0.v AND {t}.a > {p}.a" for p, t in zip(tables, tables[1:]))
@@ -257,13 +283,16 @@ def _searched(k: int, variant: str, renderer: str) -> str:
         JOIN uni u USING (query_id, idx)),{_around('1')},{_total('1')},
     moved AS (SELECT query_id, total1.total < total0.total - 1e-12 AS better FROM total0 JOIN total1 USING (query_id)),
     anchors AS (SELECT a.* FROM anchors1 a JOIN moved USING (query_id) WHERE better UNION ALL SELECT a.* FROM anchors0 a JOIN moved USING (query_id) WHERE NOT better),"""
-    return f"""WITH RECURSIVE {_samples(12 * k)},
+    # greedy search needs no combinations of large samples
+    few = " AND (SELECT count(*) FROM samples s WHERE s.query_id = x0.query_id AND s.sample = x0.sample) <= 5" if greedy else ""
+    exact = "true" if not greedy else "(SELECT count(*) FROM uni u WHERE u.query_id = shown.query_id AND u.eligible) <= 5"
+    return f"""WITH RECURSIVE {_samples(min(48, 12 * k), score, seed)},
     enough AS (SELECT query_id, count(*) > {k} AS more FROM uni WHERE eligible GROUP BY 1),
     dist AS (SELECT a.query_id, a.sample, a.idx AS a, a.cost AS ca, v.idx AS v, v.rho AS mass, CASE WHEN a.idx = v.idx THEN 0.0 ELSE {_d('a.embedding', 'v.embedding')} END AS d
         FROM samples a JOIN samples v USING (query_id, sample) JOIN enough USING (query_id) WHERE more),
     sums AS (SELECT x0.query_id, x0.sample, {', '.join(f'{t}.a AS {n}' for t, n in zip(tables, names))}, round(sum(x0.mass * least({least})) + 0.03 * ({price}), 9) AS total
-        FROM dist x0 {joins} GROUP BY 1, 2, {', '.join(f'{t}.a' for t in tables)}),
-    picked AS (SELECT * FROM sums QUALIFY row_number() OVER (PARTITION BY query_id, sample ORDER BY total, {', '.join(names)}) = 1),
+        FROM dist x0 {joins} {few} GROUP BY 1, 2, {', '.join(f'{t}.a' for t in tables)}),
+    {'picked_exact' if greedy else 'picked'} AS (SELECT * FROM sums QUALIFY row_number() OVER (PARTITION BY query_id, sample ORDER BY total, {', '.join(names)}) = 1),{_GREEDY if greedy else ''}
     members AS (SELECT l.query_id, l.sample, l.pos, u.idx, u.embedding, u.cost FROM ({' UNION ALL '.join(f'SELECT query_id, sample, {n} AS idx, {i} AS pos FROM picked' for i, n in enumerate(names))}) l JOIN uni u USING (query_id, idx)),
     chosen AS ({choose}),
     anchors0 AS (SELECT m.query_id, m.pos, m.idx, m.embedding, m.cost FROM members m JOIN chosen USING (query_id, sample)
@@ -274,17 +303,28 @@ def _searched(k: int, variant: str, renderer: str) -> str:
     sizes AS (SELECT query_id, count(*) AS nodes FROM uni GROUP BY 1)
 SELECT query_id, anchor_node_ids, context_node_ids, round(total0.total, 6) AS before, round(total.total, 6) AS after,
     CASE WHEN ids IS NOT NULL THEN round(len(list_intersect(context_node_ids, ids))::DOUBLE / len(ids), 6) END AS support_recall,
-    CASE WHEN ids IS NOT NULL THEN (len(list_intersect(context_node_ids, ids)) > 0)::DOUBLE END AS support_hit, true AS exact_phase1, nodes, tokens, len(anchor_node_ids) AS k
+    CASE WHEN ids IS NOT NULL THEN (len(list_intersect(context_node_ids, ids)) > 0)::DOUBLE END AS support_hit, {exact} AS exact_phase1, nodes, tokens, len(anchor_node_ids) AS k, total.total AS objective
 FROM shown JOIN sizes USING (query_id) JOIN listed USING (query_id) JOIN total0 USING (query_id) JOIN total USING (query_id) LEFT JOIN golds USING (query_id)"""
 
 
+def _fixed(sql: str) -> str:
+    return f"SELECT * EXCLUDE (objective) FROM ({sql})"
+
+
+def _best_k(penalty: float) -> str:
+    """The best of runs with k from 1 to 4, the smaller k on ties."""
+    runs = " UNION ALL ".join(f"SELECT *, {k} AS turn FROM ({_searched(k, 'sample_full_validation_refine', 'old', seed=42 + 1009 * k)})" for k in range(1, 5))
+    return f"""SELECT * EXCLUDE (objective, turn) FROM ({runs})
+QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY round(objective + {penalty} * k, 9), turn) = 1"""
+
+
 ORACLES = {
     "lexical_overlap_topn": f"""WITH {NODES}, o AS (SELECT query_id, node_id, {_overlap('query', 'text')} AS s FROM nodes_all)
 SELECT query_id, node_id, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, node_id) AS place, round(s, 6) AS overlap FROM o QUALIFY place <= 5""",
     "title_match_class": f"WITH {NODES} SELECT query_id, node_id, {_norm('title')} AS title, {_match('query', 'title')}::DOUBLE AS score FROM nodes_all",
     "relevance_mass_current": _mass("score"),
     "title_aware_mass": _mass(_TITLE_AWARE),
-    "subject_title_mass": _mass(_SUBJECT, ", subjects AS (SELECT query_id, max(answer) AS subject FROM examples WHERE query_id IS NOT NULL GROUP BY 1), with_subject AS (SELECT * FROM cut LEFT JOIN subjects USING (query_id))", "with_subject"),
+    "subject_title_mass": _mass(_SUBJECT),
     "universe_mass_cutoff": f"WITH {UNIVERSE} SELECT query_id, idx, node_id, score, tokens FROM cut",
     "candidate_filter_fallback": f"""WITH {BASE_SQL}, f AS (SELECT query_id, idx, candidate AND node_type = 'sentence' AS ok FROM uni)
 SELECT query_id, idx, CASE WHEN bool_or(ok) OVER (PARTITION BY query_id) THEN ok ELSE true END AS eligible FROM f""",
@@ -320,10 +360,15 @@ SELECT query_id, anchor_node_ids, context_node_ids, round(coverage + p, 6) AS be
     CASE WHEN ids IS NOT NULL THEN round(len(list_intersect(context_node_ids, ids))::DOUBLE / len(ids), 6) END AS support_recall,
     CASE WHEN ids IS NOT NULL THEN (len(list_intersect(context_node_ids, ids)) > 0)::DOUBLE END AS support_hit, true AS exact_phase1, nodes, tokens, len(anchor_node_ids) AS k
 FROM shown JOIN cover USING (query_id) JOIN price USING (query_id) LEFT JOIN golds USING (query_id)""",
-    "retrieval_sample_only": _searched(2, "sample_only", "old"),
-    "retrieval_full_validation": _searched(2, "sample_full_validation", "old"),
-    "retrieval_refine": _searched(3, "sample_full_validation_refine", "old"),
-    "retrieval_refine_cell": _searched(3, "sample_full_validation_refine", "cell_top_rho"),
+    "retrieval_sample_only": _fixed(_searched(2, "sample_only", "old")),
+    "retrieval_full_validation": _fixed(_searched(2, "sample_full_validation", "old")),
+    "retrieval_refine": _fixed(_searched(3, "sample_full_validation_refine", "old")),
+    "retrieval_refine_cell": _fixed(_searched(3, "sample_full_validation_refine", "cell_top_rho")),
+    "retrieval_title_aware": _fixed(_searched(3, "sample_full_validation_refine", "nearest", _TITLE_AWARE)),
+    "retrieval_subject_title": _fixed(_searched(2, "sample_full_validation_refine", "old", _SUBJECT)),
+    "retrieval_greedy": _fixed(_searched(3, "sample_full_validation_refine", "old", greedy=True)),
+    "retrieval_auto_k": _best_k(0.0),
+    "retrieval_adaptive_k": _best_k(0.01),
     "prediction_last_row": f"WITH {SCORES} SELECT query_id, latency_ms, objective_after_refinement FROM last",
     "context_metrics": f"WITH {SCORES} SELECT query_id, round(cr, 6) AS recall, ch AS hit, round(cp, 6) AS precision, round(cf, 6) AS f1, len(c)::DOUBLE AS size, tokens FROM scores",
     "anchor_metrics": f"WITH {SCORES} SELECT query_id, round(ar, 6) AS recall, ah AS hit, round(ap, 6) AS precision, round(af, 6) AS f1, len(a)::DOUBLE AS size FROM scores",
@@ -340,6 +385,10 @@ SELECT id, answer, list_filter(l, lambda x, i: list_position(l, x) = i) AS answe
     "gold_counts": f"WITH {_GOLD_QA} SELECT count(*) AS total_gold, count_if(how = 'missing')::BIGINT AS missing_gold FROM aligned",
     "tfidf_topn": f"WITH {_QA}, {_TFIDF} SELECT id, node_id, round(sim, 6) AS sim, place FROM top",
     "universe_merge": f"WITH {_GOLD_QA}, {_TFIDF}, {_MERGE} SELECT id, node_id, is_gold, place FROM kept",
+    "latent_lengths": f"""WITH {_QA}, {_TFIDF.split('weights AS')[0].rstrip().rstrip(',')},
+    kept AS (SELECT term FROM counts GROUP BY 1 ORDER BY sum(tf) DESC, term LIMIT 50000),
+    worded AS (SELECT DISTINCT substr(key, 2) AS node_id FROM counts JOIN kept USING (term) WHERE key[1] = 'd')
+SELECT node_id, 32::BIGINT AS elements, CASE WHEN worded.node_id IS NULL THEN 0.0 ELSE 1.0 END AS length FROM doc LEFT JOIN worded USING (node_id)""",
     "prepared_examples": f"""WITH {_GOLD_QA}, {_TFIDF}, {_MERGE}, {_ANSWERS},
     lists AS (SELECT id, list(node_id ORDER BY place) AS node_ids FROM kept GROUP BY 1),
     first_gold AS (SELECT id, node_id, min(pos) AS pos FROM aligned WHERE node_id IS NOT NULL GROUP BY 1, 2),

@@ -45,6 +45,66 @@ def as_text(v: Column) -> Column:
     return F.try_variant_get(v, "$", "string")
 
 
+#: Keys of a query's subject, the first one first (fixed values).
+SUBJECT_KEYS = ("s_wiki_title", "subj")
+
+
+def metadata_value(v: Column, key: str) -> Column:
+    """A key of a record, else of its object ``metadata``, as VARIANT; a key that is present at
+    the top counts there even if it is null."""
+    return F.coalesce(get(v, key), get(v, f"metadata.{key}"))
+
+
+def subject(v: Column) -> Column:
+    """A record's subject as text, null if it has none: a null value is passed over, an empty
+    text is a subject."""
+    def text(key: str) -> Column:
+        found = metadata_value(v, key)
+        return F.when(~F.is_variant_null(found), F.coalesce(as_text(found), F.to_json(found)))
+
+    return F.coalesce(*map(text, SUBJECT_KEYS))
+
+
+def with_subject(examples: DataFrame) -> DataFrame:
+    """``examples`` with the column ``subject``, if they have one: their own column, or the
+    fields s_wiki_title and subj of the struct ``metadata`` or of its struct ``metadata``."""
+    if "subject" in examples.columns or "metadata" not in examples.columns:
+        return examples
+
+    def fields(kind, path: str) -> dict[str, str]:
+        names = kind.fieldNames() if hasattr(kind, "fieldNames") else []
+        inner = fields(kind["metadata"].dataType, f"{path}.metadata") if "metadata" in names else {}
+        return inner | {n: f"{path}.{n}" for n in names if n in SUBJECT_KEYS}
+
+    found = fields(examples.schema["metadata"].dataType, "metadata")
+    columns = [F.col(found[k]).cast("string") for k in SUBJECT_KEYS if k in found]
+    return examples.withColumn("subject", F.coalesce(*columns)) if columns else examples
+
+
+def with_ordinal(df: DataFrame, name: str = "ord", by: tuple[str, ...] = ()) -> DataFrame:
+    """``df``, a plain scan, with each row's 0-based place, dense over all its tasks.
+
+    Rows are counted by task, or by the columns ``by``, whose order is then the order; a
+    task's own counter does the rest, so only one row a task goes through one place.
+    """
+    counter = F.monotonically_increasing_id()
+    rows = df.withColumns({"_id": counter, "_at": F.struct(*map(F.col, by)) if by else F.spark_partition_id()})
+    starts = rows.groupBy("_at").agg(F.min("_id").alias("_first"), F.count("*").alias("_n"))
+    offset = F.sum("_n").over(Window.orderBy("_at")) - F.col("_n")  # one row a task or split
+    starts = starts.withColumn("_offset", offset).select("_at", "_first", "_offset")
+    return rows.join(F.broadcast(starts), "_at").withColumn(name, F.col("_id") - F.col("_first") + F.col("_offset")).drop("_id", "_at", "_first", "_offset")
+
+
+def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
+    """(line, ord): the lines of text files with their places, files in the order of their paths."""
+    lines = spark.read.text(path).select(F.col("value").alias("line"), F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_start"))
+    return with_ordinal(lines, "ord", ("_file", "_start")).drop("_file", "_start")
+
+
+def blank_line(line: str) -> Column:
+    return F.trim(F.regexp_replace(line, r"\s+", " ")) == ""
+
+
 def node(v: Column) -> Column:
     """One node of the record format as a struct; an error names what is wrong with it."""
     key = as_text(first_truthy(v, NODE_KEYS))
@@ -66,36 +126,40 @@ def node(v: Column) -> Column:
 
 
 def examples(lines: DataFrame, line: str = "line") -> DataFrame:
-    """Lines of the record format as examples.  Blank lines are skipped; a line that can't be
-    parsed, has no id, query or nodes, or mixes embedding lengths, fails the job."""
+    """Lines of the record format as examples, each with its ``subject`` if it has one.  Blank
+    lines are skipped; a line that can't be parsed, has no id, query or nodes, or mixes
+    embedding lengths, fails the job, and a column ``ord`` then gives its number."""
     # the optimiser may look into a row before the filter does, so blank lines parse to null and raise nothing
-    blank = F.trim(F.regexp_replace(line, r"\s+", " ")) == ""
+    blank = blank_line(line)
     rows = lines.where(~blank).withColumn("v", F.parse_json(F.when(~blank, F.col(line))))
     v = F.col("v")
     query = F.coalesce(as_text(first_truthy(v, ("query",))), as_text(get(v, "question")), as_text(get(v, "query")))
     key = as_text(first_truthy(v, QUERY_KEYS))
     listed = F.try_variant_get(first_truthy(v, NODE_LISTS), "$", "array<variant>")
     gold = F.try_variant_get(first_truthy(v, GOLD_LISTS), "$", "array<string>")
-    fail = lambda bad, what, ok: F.when(bad & v.isNotNull(), F.raise_error(F.concat(F.lit(what + ": "), F.substring(line, 1, 80)))).otherwise(ok)
+    place = F.concat(F.lit(" in line "), (F.col("ord") + 1).cast("string")) if "ord" in lines.columns else F.lit("")
+    fail = lambda bad, what, ok: F.when(bad & v.isNotNull(), F.raise_error(F.concat(F.lit(what), place, F.lit(": "), F.substring(line, 1, 80)))).otherwise(ok)
     made = rows.select(
         *[c for c in lines.columns if c != line],
         fail(key.isNull(), "no query id", key).alias("query_id"), fail(query.isNull(), "no query", query).alias("query"),
         fail(F.coalesce(F.size(listed), F.lit(0)) <= 0, "no nodes", F.transform(listed, node)).alias("nodes"),
-        F.array_distinct(F.coalesce(gold, F.array().cast("array<string>"))).alias("gold_node_ids"), as_text(get(v, "answer")).alias("answer"), F.to_json(v).alias("metadata_json"))
+        F.array_distinct(F.coalesce(gold, F.array().cast("array<string>"))).alias("gold_node_ids"), as_text(get(v, "answer")).alias("answer"), subject(v).alias("subject"))
     mixed = F.exists("nodes", lambda n: F.size(n["embedding"]) != F.size(F.col("nodes")[0]["embedding"]))
     return made.withColumn("nodes", F.when(mixed, F.raise_error(F.concat(F.lit("embeddings of several lengths in "), "query_id"))).otherwise(F.col("nodes")))
 
 
 def read_examples(spark: SparkSession, path: str, limit: int | None = None) -> DataFrame:
     """Examples from JSON lines, or from Parquet of the same shape.  ``limit`` keeps the first
-    lines of the file and must be at least 1."""
+    examples in the order of the files, blank lines not counted, with their places as
+    ``ord``, and must be at least 1."""
     if limit is not None and limit < 1:
         raise ValueError("limit must be at least 1")
     if path.rstrip("/").endswith(".parquet"):
         rows = spark.read.parquet(path)
-        return rows if limit is None else rows.limit(limit)
-    lines = spark.read.text(path).withColumnRenamed("value", "line")
-    return examples(lines if limit is None else lines.limit(limit))
+        return rows if limit is None else with_ordinal(rows).orderBy("ord").limit(limit)
+    if limit is None:
+        return examples(spark.read.text(path).withColumnRenamed("value", "line"))
+    return examples(numbered_lines(spark, path).where(~blank_line("line")).orderBy("ord").limit(limit))
 
 
 def write_json_lines(df: DataFrame, path: str) -> None:
@@ -118,9 +182,11 @@ def read_json_list(spark: SparkSession, path: str) -> DataFrame:
 
 
 def validate(df: DataFrame) -> DataFrame:
-    """One row: the number of examples and the distinct embedding lengths, in order."""
-    dims = df.select(F.explode("nodes.embedding").alias("e")).agg(F.sort_array(F.collect_set(F.size("e").cast("long"))).alias("embedding_dims"))
-    counts = df.agg(F.count("*").alias("num_examples"))
+    """One row: the number of examples, of their distinct queries, and the distinct embedding
+    lengths, in order."""
+    lengths = df.select(F.explode("nodes.embedding").alias("e")).select(F.size("e").cast("long").alias("d")).where("d is not null").distinct()
+    dims = lengths.agg(F.sort_array(F.collect_list("d")).alias("embedding_dims"))
+    counts = df.agg(F.count("*").alias("num_examples"), F.countDistinct("query_id").alias("num_queries"))
     return counts.crossJoin(F.broadcast(dims))  # one row each
 
 

@@ -4,6 +4,7 @@ import re
 from collections import Counter, defaultdict
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from mooring.plans import preparation as P
 
@@ -24,7 +25,7 @@ def brute_top(questions, docs, n):
         w[k] = {t: x / norm for t, x in v.items()}
     out = {}
     for i, _ in questions:
-        sims = [(-round(s, 9), d) for d, _ in docs if (s := sum(x * w["d", d].get(t, 0) for t, x in w["q", i].items())) > 0]
+        sims = [(-round(s, 9), d) for d, _ in docs if (s := sum(x * w["d", d].get(t, 0) for t, x in w["q", i].items())) >= 0]
         out[i] = [d for _, d in sorted(sims)[:n]]
     return out
 
@@ -99,3 +100,19 @@ def test_latent_vectors_take_all_terms_and_give_every_document_one(spark):
     want /= np.maximum(np.linalg.norm(want, axis=1, keepdims=True), 1e-12)
     got = np.stack([v[i] for i, _ in docs])
     assert np.allclose(got @ got.T, want @ want.T, atol=1e-3)
+
+
+def test_raw_lists_are_numbered_and_checked(spark):
+    import pytest
+
+    qa = spark.createDataFrame([(None, "a?", None), ("x", None, "b?"), (None, "c?", None)], "_id string, query string, question string").coalesce(1)
+    docs = spark.createDataFrame([("t", "", "c"), ("", "u", None)], "title string, text string, content string").coalesce(1)
+    q, d = P.numbered(qa, docs, "set")
+    assert [(r["id"], r["question"]) for r in q.orderBy("ord").collect()] == [("0", "a?"), ("x", "b?"), ("2", "c?")]
+    assert [(r["node_id"], r["text"]) for r in d.orderBy("ord").collect()] == [("set:doc:0", "c"), ("set:doc:1", "u")]
+    with pytest.raises(P.RawDataError):
+        P.numbered(qa, docs.limit(0), "set")
+    with pytest.raises(Exception, match="no question in item 0"):
+        P.numbered(qa.withColumn("query", F.lit(None).cast("string")).drop("question"), docs, "set")[0].collect()
+    with pytest.raises(Exception, match="neither title nor text in document 1"):
+        P.numbered(qa, docs.withColumn("text", F.lit("")), "set")[1].collect()

@@ -2,6 +2,7 @@ import json
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from mooring.config import Config, Experiment, Search, Universe, load_config, parse_config
 from mooring.operators import anchors as A
@@ -123,7 +124,7 @@ def test_spearman(spark):
 def test_files_grid_and_summary(spark, tmp_path):
     (tmp_path / "in.jsonl").write_text("\n".join(json.dumps(line(query_id=f"q{k}")) for k in range(3)) + "\n\n")
     ex = records.read_examples(spark, str(tmp_path / "in.jsonl"))
-    assert records.validate(ex).first().asDict() == {"num_examples": 3, "embedding_dims": [3]}
+    assert records.validate(ex).first().asDict() == {"num_examples": 3, "num_queries": 3, "embedding_dims": [3]}
     with pytest.raises(ValueError):
         records.read_examples(spark, str(tmp_path / "in.jsonl"), 0)
     records.write_json_lines(retrieve(ex, SMOKE), str(tmp_path / "out"))
@@ -186,3 +187,63 @@ def test_best_k_greedy_and_title_runs(spark):
     assert quick["anchor_ids"] == [rows[i]["node_id"] for i in greedy(p, range(len(rows)), 2)] and not quick["exact_phase1"] and quick["diagnostics"]["fallback_used"]
     titled = retrieve(ex, base.with_search(retrieval_variant="top_rho", k=1, relevance_mode="title_aware")).first()
     assert titled["anchor_ids"] == ["n07"]
+
+
+def test_a_querys_subject_is_found_in_its_record(spark, tmp_path):
+    cases = {"top": {"s_wiki_title": "The Rankin", "subj": "x"}, "second": {"s_wiki_title": None, "subj": "The Rankin"}, "nested": {"metadata": {"subj": "the RANKIN!"}},
+             "number": {"subj": 12}, "empty": {"subj": ""}, "none": {"metadata": {"subj": None}}, "hidden": {"s_wiki_title": None, "metadata": {"s_wiki_title": "The Rankin"}}}
+    nodes = [{"node_id": n, "text": "t", "embedding": [1.0, k], "metadata": {"title": t}} for k, (n, t) in enumerate([("a", "The Rankin"), ("b", "12"), ("c", "")])]
+    (tmp_path / "in.jsonl").write_text("\n".join(json.dumps(line(query_id=q, query="who", nodes=nodes) | more) for q, more in cases.items()))
+    ex = records.read_examples(spark, str(tmp_path / "in.jsonl"))
+    assert {r["query_id"]: r["subject"] for r in ex.collect()} == {"top": "The Rankin", "second": "The Rankin", "nested": "the RANKIN!", "number": "12", "empty": "", "none": None, "hidden": None}
+    c = Config(universe=Universe(9, 1.0), search=Search(retrieval_variant="top_rho", k=1, relevance_mode="diagnostic_subject_title"))
+    first = {r["query_id"]: r["anchor_ids"][0] for r in retrieve(ex, c).collect()}
+    assert {q for q, a in first.items() if a == "a"} == {"top", "second", "nested", "empty", "none", "hidden"} and first["number"] == "b"
+    kept = ex.selectExpr("query_id", "query", "nodes", "gold_node_ids", "named_struct('subj', cast(null as string), 'metadata', named_struct('s_wiki_title', subject)) as metadata")
+    assert {r["query_id"]: r["subject"] for r in records.with_subject(kept).collect()} == {r["query_id"]: r["subject"] for r in ex.collect()}
+
+
+def test_limits_and_places_pass_over_blank_lines(spark, tmp_path):
+    (tmp_path / "in.jsonl").write_text("\n \n" + "\n\n".join(json.dumps(line(query_id=f"q{k}")) for k in range(6)))
+    got = records.read_examples(spark, str(tmp_path / "in.jsonl"), 3).collect()
+    assert [(r["query_id"], r["ord"]) for r in got] == [("q0", 2), ("q1", 4), ("q2", 6)]
+    (tmp_path / "bad.jsonl").write_text(json.dumps(line()) + "\n" + json.dumps({"query_id": "x", "query": "y"}))
+    with pytest.raises(Exception, match="no nodes in line 2"):
+        records.read_examples(spark, str(tmp_path / "bad.jsonl"), 5).collect()
+    rows = spark.range(1000, numPartitions=7)
+    assert all(r["ord"] == r["id"] for r in records.with_ordinal(rows).collect())
+
+
+def test_groups_are_cut_before_they_are_shuffled(spark):
+    nodes = spark.range(5000).selectExpr("concat('q', id div 5000) as query_id", "concat('n', id) as node_id", "cast(id % 97 as double) as score", "'t' as text")
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    assert "WindowGroupLimit" in plan(U.mass_cutoff(nodes, 600, 0.98))
+    assert "WindowGroupLimit" in plan(A.top_rho(nodes.selectExpr("query_id", "true as eligible", "score as rho", "node_id as idx"), 3))
+    want = sorted([(-(k % 97), f"n{k}") for k in range(5000)])
+    for n in (10, 1500):
+        got = U.first_in_group(nodes, ["query_id"], [F.desc("score"), F.asc("node_id")], n, "p", "node_id").orderBy("p").collect()
+        assert [(-r["score"], r["node_id"]) for r in got] == want[:n] and [r["p"] for r in got] == list(range(n))
+
+
+def test_ranks_by_ranges(spark):
+    import random
+
+    r = random.Random(5)
+    rows = [(float(k * k), r.randint(1, 4)) for k in r.sample(range(3000), 1500)]
+    got = {x["v"]: x["before"] for x in E.counts_before(spark.createDataFrame(rows, "v double, n long"), "v").collect()}
+    ahead = 0
+    for v, n in sorted(rows):
+        assert got[v] == ahead
+        ahead += n
+    assert len(got) == 1500 and E.counts_before(spark.createDataFrame([], "v double, n long"), "v").count() == 0
+
+
+def test_grid_paths(tmp_path):
+    from mooring.plans.grid import config_paths
+
+    for n in ("PopQA_a", "Sensitivity_b", "other"):
+        (tmp_path / f"{n}.yaml").write_text("")
+    assert [p.stem for p in config_paths(str(tmp_path), "popqa", [str(tmp_path / "other.yaml"), str(tmp_path / "PopQA_a.yaml")])] == ["PopQA_a", "Sensitivity_b", "other"]
+    assert [p.stem for p in config_paths(str(tmp_path), "none")] == ["Sensitivity_b"]
+    with pytest.raises(ValueError):
+        config_paths(None, "popqa")

@@ -97,3 +97,13 @@ def test_distances_of_zero_and_broken_vectors():
     assert distance_matrix(np.eye(2), "cosine")[0, 1] == 1
     with pytest.raises(ValueError):
         distance_matrix(np.array([[np.nan, 1.0]]))
+
+
+def test_distances_are_checked():
+    from mooring.functions.vectors import checked_distances
+
+    d = distance_matrix(np.eye(3))
+    assert checked_distances(d) is d
+    for bad in (np.zeros((2, 3)), -np.eye(2), np.array([[0.0, 1], [2, 0]]), np.array([[0.0, np.nan], [np.nan, 0]])):
+        with pytest.raises(ValueError):
+            checked_distances(bad)
