@@ -88,11 +88,11 @@ def with_ordinal(df: DataFrame, name: str = "ord", by: tuple[str, ...] = ()) ->
     task's own counter does the rest, so only one row a task goes through one place.
     """
     counter = F.monotonically_increasing_id()
-    rows = df.withColumns({"_id": counter, "_at": F.struct(*map(F.col, by)) if by else F.spark_partition_id()})
-    starts = rows.groupBy("_at").agg(F.min("_id").alias("_first"), F.count("*").alias("_n"))
-    offset = F.sum("_n").over(Window.orderBy("_at")) - F.col("_n")  # one row a task or split
-    starts = starts.withColumn("_offset", offset).select("_at", "_first", "_offset")
-    return rows.join(F.broadcast(starts), "_at").withColumn(name, F.col("_id") - F.col("_first") + F.col("_offset")).drop("_id", "_at", "_first", "_offset")
+    rows = df.withColumns({"_ord_id": counter, "_ord_at": F.struct(*map(F.col, by)) if by else F.spark_partition_id()})
+    starts = rows.groupBy("_ord_at").agg(F.min("_ord_id").alias("_ord_first"), F.count("*").alias("_ord_n"))
+    offset = F.sum("_ord_n").over(Window.orderBy("_ord_at")) - F.col("_ord_n")  # one row a task or split
+    starts = starts.withColumn("_ord_offset", offset).select("_ord_at", "_ord_first", "_ord_offset")
+    return rows.join(F.broadcast(starts), "_ord_at").withColumn(name, F.col("_ord_id") - F.col("_ord_first") + F.col("_ord_offset")).drop("_ord_id", "_ord_at", "_ord_first", "_ord_offset")
 
 
 def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
