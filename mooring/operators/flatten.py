@@ -52,7 +52,7 @@ def flatten_lists(df: DataFrame, keys: list[str], children: dict[str, tuple[str,
                 place = np.arange(len(child)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
                 parent = parent.filter(there)
                 yield pa.RecordBatch.from_arrays(
-                    [*(batch.column(k).take(parent) for k in keys), pa.array([name] * len(parent), pa.string()),
+                    [*(batch.column(k).take(parent) for k in keys), pa.repeat(pa.scalar(name, pa.string()), len(parent)),
                      pa.array(place).filter(there), value.filter(there).cast(pa.string())],
                     names=[*keys, "child_table", "pos", "child_key"])
 
@@ -84,39 +84,45 @@ def decode_records(df: DataFrame, line: str = "line") -> DataFrame:
     object; other lines are dropped.
 
     Lists and objects inside strings are parsed as well; a single object or value counts as
-    a list of one; numbers and booleans become their text.
+    a list of one; numbers and booleans become their text.  Every level is parsed by a
+    projection of its own, so no text of it is parsed twice.
     """
     top = _fields(*NODE_LISTS, *GOLD_LISTS, *QUERY_KEYS, *QUERY_TEXTS, "answer")
     node = _fields(*NODE_KEYS, *NODE_TEXTS, "metadata")
     # the parser stops at the end of the object, so the rest of the line is judged as part of a list
     whole = F.col(line).rlike(r"^\s*\{") & (F.json_array_length(F.concat(F.lit("["), F.col(line), F.lit("]"))) == 1)
+    record, nodes, golds, named = (F.col(c) for c in ("record", "node_list", "gold_list", "_named"))
     rows = df.where(whole).withColumn("record", F.from_json(F.col(line), top, {"mode": "PERMISSIVE"}))
-    element = lambda e: F.from_json(e, node)
+    rows = rows.withColumns({"node_list": first_of(record, NODE_LISTS), "gold_list": first_of(record, GOLD_LISTS)})
+    rows = rows.withColumns({"node_list": as_list(nodes), "gold_list": as_list(golds)})
+    rows = rows.withColumns({
+        "node_list": F.transform(nodes, lambda e: F.from_json(e, node)),
+        "_named": F.transform(golds, lambda e: F.when(e.rlike(r"^\s*\{"), F.from_json(e, node)))})
+    rows = rows.withColumn("_titles", F.transform(nodes, lambda n: F.from_json(n["metadata"], _fields("title"))["title"]))
 
-    def flat(e: Column) -> Column:
-        n = element(e)
-        title = F.from_json(n["metadata"], _fields("title"))["title"]
-        return F.when(e.isNotNull(), F.struct(
-            first_of(n, NODE_KEYS).alias("key"), F.when(title != "", title).alias("title"), first_of(n, NODE_TEXTS).alias("text")))
+    def flat(n: Column, title: Column) -> Column:
+        return F.when(n.isNotNull(), F.struct(first_of(n, NODE_KEYS).alias("key"), F.when(title != "", title).alias("title"), first_of(n, NODE_TEXTS).alias("text")))
 
-    def gold(e: Column) -> Column:
-        return F.when(e.rlike(r"^\s*\{"), F.coalesce(first_of(element(e), NODE_KEYS), e)).otherwise(e)
+    gold = F.zip_with(golds, named, lambda e, n: F.coalesce(F.when(n.isNotNull(), first_of(n, NODE_KEYS)), e))
+    return rows.withColumns({"node_list": F.zip_with(nodes, F.col("_titles"), flat), "gold_list": gold}).drop("_named", "_titles")
 
-    record = F.col("record")
-    return (rows.withColumn("node_list", F.transform(as_list(first_of(record, NODE_LISTS)), flat))
-            .withColumn("gold_list", F.transform(as_list(first_of(record, GOLD_LISTS)), gold)))
+
+def _only(df: DataFrame, key: str, line: str) -> DataFrame:
+    # under names of our own, which no other column can have
+    return df.select(F.col(key).alias("_key"), F.col(line).alias("_line"))
 
 
 def child_rows(df: DataFrame, key: str = "line_no", line: str = "line") -> DataFrame:
     """The child rows ``node``, ``title`` and ``gold`` of records as JSON text: see
     decode_records and flatten_lists.  Null, blank, cut-off and non-object lines give nothing."""
-    rows = decode_records(df.select(key, line), line).select(key, "node_list", "gold_list")
-    return flatten_lists(rows, [key], {"node": ("node_list", "key"), "title": ("node_list", "title"), "gold": ("gold_list", None)})
+    rows = decode_records(_only(df, key, line), "_line").select("_key", "node_list", "gold_list")
+    children = {"node": ("node_list", "key"), "title": ("node_list", "title"), "gold": ("gold_list", None)}
+    return flatten_lists(rows, ["_key"], children).withColumnRenamed("_key", key)
 
 
 def query_rows(df: DataFrame, key: str = "line_no", line: str = "line") -> DataFrame:
     """(key, query_id, query, answer, nodes, golds): the parent table, with the lists' lengths."""
-    rows = decode_records(df.select(key, line), line)
+    rows = decode_records(_only(df, key, line), "_line")
     record = F.col("record")
-    return rows.select(key, first_of(record, QUERY_KEYS).alias("query_id"), first_of(record, QUERY_TEXTS).alias("query"), record["answer"].alias("answer"),
+    return rows.select(F.col("_key").alias(key), first_of(record, QUERY_KEYS).alias("query_id"), first_of(record, QUERY_TEXTS).alias("query"), record["answer"].alias("answer"),
                        F.coalesce(F.size("node_list"), F.lit(0)).cast("long").alias("nodes"), F.coalesce(F.size("gold_list"), F.lit(0)).cast("long").alias("golds"))

@@ -89,3 +89,9 @@ def test_lists_of_any_table(spark):
 @pytest.mark.parametrize("line", [[], [(1, None)]])
 def test_empty_tables(spark, line):
     assert child_rows(spark.createDataFrame(line, "line_no long, line string")).count() == 0
+
+
+def test_no_level_is_parsed_twice(spark):
+    lines = spark.createDataFrame([(1, "{}")], "line_no long, line string")
+    for made in (child_rows(lines), query_rows(lines)):
+        assert made._jdf.queryExecution().optimizedPlan().toString().count("from_json") <= 8
