@@ -1,41 +1,89 @@
-"""References whose parent is absent at their time, by bitmaps.
-
-Keys are hashed into blocks; a block's references and parents meet in one task, where
-the block's keys are dictionary-encoded to dense integers.  For every period (month of
-the reference's time) one bitmap marks the keys that are referenced and one the keys
-that have a parent throughout the period.  Reference AND NOT parent leaves the keys that
-may lack one; only those bits are decoded, and their references are held against the
-key's exact life times.
-
-A block with more references or parents than a task should hold is cut on either side:
-each part of its references meets each part of its parents, and a reference is an orphan
-if it is one against all of them.
+"""References whose parent is absent at their time, by compressed bitmaps.
+
+References are first reduced to one row per key and period (month of the reference's
+time) with the first and the last time asked for, so a hot key is a few rows.  Those rows
+and the parents' life times are cut into key ranges, as many as their number asks for, each
+a task's.  There keys are dictionary-encoded to dense integers, and for every period two
+compressed bitmaps are made: of the keys that are referenced, and of those with a parent
+alive from the first to the last of these times.  Reference AND NOT parent leaves the keys
+that may lack one; only those bits are decoded.  Their references are found again by key
+and period and held against the life times that touch the period's times.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from math import ceil
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Rows of one side of a block in one task.
-BLOCK_ROWS = 200_000
+from mooring.shared import materialise
+
+#: Rows (keys by period, and life times) of one key range.
+RANGE_ROWS = 200_000
 FOREVER = np.iinfo(np.int64).max
+DAY = 86_400_000_000
 
 
 def micros(at: Column) -> Column:
     """A timestamp's microseconds as shown, whatever its kind and the session's zone."""
-    day = F.unix_date(F.to_date(at)).cast("long") * 86_400_000_000
+    day = F.unix_date(F.to_date(at)).cast("long") * DAY
     return day + (F.hour(at) * 3600 + F.minute(at) * 60).cast("long") * 1_000_000 + (F.extract(F.lit("SECOND"), at) * 1_000_000).cast("long")
 
 
-def _pack(codes: np.ndarray, n: int) -> np.ndarray:
-    marks = np.zeros(n, bool)
-    marks[codes] = True
-    return np.packbits(marks)
+def month_of(at: Column) -> Column:
+    """Months since year 0 of microseconds."""
+    day = F.date_from_unix_date(((at - F.pmod(at, F.lit(DAY))) / DAY).cast("int"))
+    return F.year(day) * 12 + F.month(day) - 1
+
+
+class Bitmap:
+    """A set of small integers in containers of 2^16: the sorted low halves of a sparse one, the
+    packed bits of a dense one, whichever is smaller."""
+
+    BITS = 1 << 16
+
+    def __init__(self, values: np.ndarray):
+        values = np.unique(np.asarray(values, np.int64))
+        high = values >> 16
+        cuts = np.flatnonzero(np.r_[True, high[1:] != high[:-1]]) if len(values) else []
+        self.parts = {int(high[i]): self._kept((values[i:j] & 0xFFFF).astype(np.uint16)) for i, j in zip(cuts, [*cuts[1:], len(values)])}
+
+    @classmethod
+    def _kept(cls, low: np.ndarray) -> np.ndarray:
+        if 2 * len(low) <= cls.BITS // 8:
+            return low
+        marks = np.zeros(cls.BITS, bool)
+        marks[low] = True
+        return np.packbits(marks)
+
+    @staticmethod
+    def _low(part: np.ndarray) -> np.ndarray:
+        return part if part.dtype == np.uint16 else np.flatnonzero(np.unpackbits(part)).astype(np.uint16)
+
+    def and_not(self, other: "Bitmap") -> "Bitmap":
+        out = Bitmap(np.zeros(0, np.int64))
+        for key, mine in self.parts.items():
+            theirs = other.parts.get(key)
+            if theirs is None:
+                left = mine
+            elif mine.dtype == theirs.dtype == np.uint8:
+                left = self._kept(self._low(mine & ~theirs))
+            elif mine.dtype == np.uint16 and theirs.dtype == np.uint8:
+                left = mine[(theirs[mine >> 3] >> (7 - (mine & 7)).astype(np.uint8) & 1) == 0]
+            else:
+                left = self._kept(np.setdiff1d(self._low(mine), theirs, assume_unique=True))
+            if len(left):
+                out.parts[key] = left
+        return out
+
+    def values(self) -> np.ndarray:
+        found = [(key << 16) + self._low(part).astype(np.int64) for key, part in sorted(self.parts.items())]
+        return np.concatenate(found) if found else np.zeros(0, np.int64)
 
 
 def _merged(code: np.ndarray, since: np.ndarray, until: np.ndarray):
@@ -54,77 +102,90 @@ def _merged(code: np.ndarray, since: np.ndarray, until: np.ndarray):
     return code[new], since[new], end[last]
 
 
-def _alive(code, at, p_code, p_since, p_until) -> np.ndarray:
-    """Whether each (code, at) lies in one of the disjoint intervals."""
-    if not len(p_code):
-        return np.zeros(len(code), bool)
-    times = np.unique(np.r_[p_since, at])
+def suspects(code: np.ndarray, month: np.ndarray, low: np.ndarray, high: np.ndarray, p_code: np.ndarray, since: np.ndarray, until: np.ndarray):
+    """Of the rows (code, month, low, high), those that no life time covers from low to high:
+    (rows, start, stop), the life times from start to stop of the merged ones being those
+    that touch a row's times; and the merged life times."""
+    p_code, since, until = _merged(p_code, since, until)
+    times = np.unique(np.r_[since, until, low, high])
     width = len(times) + 1
-    where = np.searchsorted(p_code * width + np.searchsorted(times, p_since), code * width + np.searchsorted(times, at), side="right") - 1
-    hit = np.maximum(where, 0)
-    return (where >= 0) & (p_code[hit] == code) & (at < p_until[hit])
-
-
-def find_orphans(refs: pd.DataFrame, parents: pd.DataFrame) -> np.ndarray:
-    """Positions of the rows of ``refs`` (key, at) without a live row of ``parents`` (key, since, until)."""
-    parents = parents[parents["since"].notna().to_numpy() & parents["key"].notna().to_numpy()]
-    at = pd.to_numeric(refs["at"]).astype("Int64")
-    untimed = at.isna().to_numpy()
-    at = at.fillna(0).to_numpy(np.int64)
-    codes, _ = pd.factorize(pd.concat([refs["key"], parents["key"]], ignore_index=True))
-    n = int(codes.max()) + 1 if len(codes) else 0
-    r, p = codes[:len(refs)].astype(np.int64), codes[len(refs):].astype(np.int64)
-    until = parents["until"].astype("Int64").fillna(FOREVER).to_numpy(np.int64)
-    p, since, until = _merged(p, parents["since"].to_numpy(np.int64), until)
-    month = at.astype("M8[us]").astype("M8[M]")
-    out = [np.flatnonzero(untimed)]
-    for period in np.unique(month[~untimed]):
-        rows = np.flatnonzero((month == period) & ~untimed)
-        start, end = (int(m.astype("M8[us]").astype(np.int64)) for m in (period, period + 1))
-        referenced = _pack(r[rows], n)
-        throughout = _pack(p[(since <= start) & (until >= end)], n)
-        left = np.unpackbits(referenced & ~throughout, count=n).astype(bool)
-        rows = rows[left[r[rows]]]
-        out.append(rows[~_alive(r[rows], at[rows], p, since, until)])
-    return np.concatenate(out)
-
-
-def orphan_references(refs: DataFrame, parents: DataFrame, payload: list[str], block_rows: int = BLOCK_ROWS) -> DataFrame:
-    """Distinct ``payload`` rows of ``refs`` (key string, at long, payload strings) for which no
-    row of ``parents`` (key string, since long, until long) has since <= at < until.
+    at = lambda c, t: c * width + np.searchsorted(times, t)
+    begun = np.searchsorted(at(p_code, since), at(code, low), side="right")
+    before = np.maximum(begun - 1, 0)
+    if len(p_code):
+        covered = (begun > 0) & (p_code[before] == code) & (until[before] > high)
+    else:
+        covered = np.zeros(len(code), bool)
+    rows = []
+    for period in np.unique(month):
+        own = np.flatnonzero(month == period)
+        left = Bitmap(code[own]).and_not(Bitmap(code[own[covered[own]]])).values()
+        rows.append(own[np.isin(code[own], left)])
+    rows = np.concatenate(rows) if rows else np.zeros(0, np.int64)
+    stop = np.searchsorted(at(p_code, since), at(code[rows], high[rows]), side="right")
+    start = np.searchsorted(at(p_code, until), at(code[rows], low[rows]), side="right")
+    return rows, np.minimum(start, stop), stop, since, until
+
+
+LIVES = pa.list_(pa.struct([("since", pa.int64()), ("until", pa.int64())]))
+
+
+def _ranges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The suspects of a task's keys, which come in order, whole keys at a time."""
+    held: list[pa.RecordBatch] = []
+
+    def found(table: pa.Table) -> pa.RecordBatch:
+        keys = table["key"].combine_chunks().dictionary_encode()
+        keys = keys.combine_chunks() if isinstance(keys, pa.ChunkedArray) else keys
+        code = keys.indices.to_numpy().astype(np.int64)
+        low, high = table["low"].to_numpy(), table["high"].to_numpy()
+        life = pc.is_null(table["month"]).to_numpy()
+        month = table["month"].fill_null(0).to_numpy()
+        ask = np.flatnonzero(~life)
+        rows, start, stop, since, until = suspects(code[ask], month[ask], low[ask], high[ask], code[life], low[life], high[life])
+        size = stop - start
+        at = np.repeat(start - (np.cumsum(size) - size), size) + np.arange(size.sum())
+        lives = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(size)], pa.int32()), pa.StructArray.from_arrays([pa.array(since[at]), pa.array(until[at])], ["since", "until"]))
+        return pa.RecordBatch.from_arrays([keys.dictionary.take(pa.array(code[ask][rows])), pa.array(month[ask][rows], pa.int32()), lives], names=["key", "month", "lives"])
+
+    rows = 0
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        held.append(batch)
+        rows += batch.num_rows
+        if rows >= RANGE_ROWS:
+            table = pa.Table.from_batches(held)
+            cut = table["key"].index(table["key"][-1]).as_py()
+            if cut:
+                yield found(table.slice(0, cut))
+            held = table.slice(cut).to_batches()
+            rows = table.num_rows - cut
+    if held:
+        yield found(pa.Table.from_batches(held))
+
+
+def orphan_references(refs: DataFrame, parents: DataFrame, payload: list[str], range_rows: int = RANGE_ROWS) -> DataFrame:
+    """Distinct ``payload`` rows of ``refs`` (key string, at long, payload) for which no row of
+    ``parents`` (key string, since long, until long) has since <= at < until.
 
     A null until is open-ended, a null since never alive; a null key in ``refs`` refers to
     nothing and gives no row, a null ``at`` is always an orphan.  A payload comes out if any
     of its references is an orphan.  Repeated rows and overlapping or repeated life times
-    count once.  Empty tables are allowed on either side.
+    count once.  Empty tables are allowed on either side; other columns are ignored.
     """
-    refs = refs.where("key is not null").select("key", "at", *payload)
-    parents = parents.where("key is not null and since is not null").select("key", "since", "until").distinct()
-    total = refs.count()
-    blocks = int(min(4096, max(8, ceil(total / block_rows * 4))))
-    block = F.pmod(F.xxhash64("key"), F.lit(blocks)).cast("int")
-    refs, parents = refs.withColumn("block", block), parents.withColumn("block", block)
-    sizes = (refs.groupBy("block").agg(F.count("*").alias("r"), F.lit(0).alias("p"))
-             .unionByName(parents.groupBy("block").agg(F.lit(0).alias("r"), F.count("*").alias("p")))
-             .groupBy("block").agg(F.sum("r").alias("r"), F.sum("p").alias("p")))
-    # one row per block, and there are at most 4096 of them
-    cuts = [(b, max(1, ceil(r / block_rows)), max(1, ceil(p / block_rows))) for b, r, p in sizes.collect()]
-    whole = all(p == 1 for _, _, p in cuts)
-    if not whole:
-        refs = refs.distinct()
-    plan = F.broadcast(refs.sparkSession.createDataFrame(cuts or [(0, 1, 1)], "block int, nr int, np int"))
-    left = (refs.join(plan, "block").withColumn("i", F.pmod(F.xxhash64("at", *payload), F.col("nr")).cast("int"))
-            .withColumn("j", F.explode(F.sequence(F.lit(0), F.col("np") - 1))).select("block", "i", "j", "np", "key", "at", *payload))
-    right = (parents.join(plan, "block").withColumn("j", F.pmod(F.xxhash64("since", "until"), F.col("np")).cast("int"))
-             .withColumn("i", F.explode(F.sequence(F.lit(0), F.col("nr") - 1))).select("block", "i", "j", "key", "since", "until"))
-    columns = ["key", "at", "np", *payload]
-
-    def run(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        return a.iloc[find_orphans(a, b)][columns]
-
-    schema = ", ".join(["key string", "at long", "np int", *(f"`{c}` string" for c in payload)])
-    found = left.groupBy("block", "i", "j").cogroup(right.groupBy("block", "i", "j")).applyInPandas(run, schema)
-    if not whole:
-        # an orphan is one against every part of its block's parents
-        found = found.groupBy("key", "at", "np", *payload).agg(F.count("*").alias("n")).where("n = np")
-    return found.select(*payload).distinct()
+    names = [f"_p{i}" for i in range(len(payload))]
+    rows = refs.where("key is not null").select(F.col("key").alias("_key"), F.col("at").alias("_at"), *(F.col(c).alias(n) for c, n in zip(payload, names)))
+    rows = rows.withColumn("_month", month_of(F.col("_at")))
+    asked = rows.where("_at is not null").groupBy("_key", "_month").agg(F.min("_at").alias("low"), F.max("_at").alias("high"))
+    lives = parents.where("key is not null and since is not null").groupBy("key", "since").agg(F.max(F.coalesce("until", F.lit(int(FOREVER)))).alias("until")).where("until > since")
+    keyed = materialise(asked.select(F.col("_key").alias("key"), F.col("_month").alias("month"), "low", "high").unionByName(
+        lives.select("key", F.lit(None).cast("int").alias("month"), F.col("since").alias("low"), F.col("until").alias("high"))), "keyed")
+    ranges = max(1, ceil(keyed.count() / range_rows))
+    left = materialise(keyed.repartitionByRange(ranges, "key").sortWithinPartitions("key").mapInArrow(
+        _ranges, "key string, month int, lives array<struct<since:long,until:long>>"), "suspects")
+    # nothing is partitioned by hand here, so a hot key's references can be split by the join
+    again = rows.join(left, (F.col("_key") == F.col("key")) & (F.col("_month") == F.col("month")))
+    dead = again.where(~F.exists("lives", lambda p: (p["since"] <= F.col("_at")) & (F.col("_at") < p["until"])))
+    untimed = rows.where("_at is null")
+    return dead.select(*names).unionByName(untimed.select(*names)).distinct().toDF(*payload)

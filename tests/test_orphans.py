@@ -1,7 +1,11 @@
 import random
 
+import numpy as np
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 
+from mooring.operators import orphans
 from mooring.operators.orphans import orphan_references
 
 MONTH = 30 * 86_400_000_000
@@ -38,9 +42,20 @@ def test_matches_brute_force(spark, seed):
 
 
 @pytest.mark.parametrize("rows", [15, 40])
-def test_hot_blocks_are_cut_on_both_sides(spark, rows):
-    refs, parents = sample(7, 400, keys=3, parents=150)
-    assert run(spark, refs, parents, block_rows=rows) == brute(refs, parents)
+def test_ranges_are_cut_at_keys(spark, rows, monkeypatch):
+    monkeypatch.setattr(orphans, "RANGE_ROWS", rows)
+    refs, parents = sample(7, 400, keys=30, parents=150)
+    assert run(spark, refs, parents, range_rows=rows) == brute(refs, parents)
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.integers(0, 10_000), st.sampled_from([10, 5_000, 40_000]), st.sampled_from([10, 5_000, 40_000]), st.sampled_from([60_000, 300_000]))
+def test_bitmaps_are_sets(seed, n, m, top):
+    g = np.random.default_rng(seed)
+    a, b = g.integers(0, top, n), g.integers(0, top, m)
+    left = orphans.Bitmap(a).and_not(orphans.Bitmap(b)).values()
+    assert left.tolist() == sorted(set(a.tolist()) - set(b.tolist()))
+    assert all(part.nbytes <= 8192 for part in orphans.Bitmap(a).parts.values())
 
 
 def test_edges_of_life_times(spark):
