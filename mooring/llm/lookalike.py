@@ -11,6 +11,7 @@ composed again, so accents count however they are stored.
 
 from __future__ import annotations
 
+import re
 import unicodedata
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
@@ -21,10 +22,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-# Code points of other scripts that look like the letter before the colon.
+from mooring.shared import materialise
+
+# Code points of other scripts (Greek, Cyrillic, Armenian, Cherokee, number
+# forms) that look like the letter before the colon.
 LETTERS = (
-    "A:АΑ B:ВΒ C:СⅭ D:Ⅾ E:ЕΕ H:НΗ I:ІΙⅠ J:Ј K:КΚ L:Ⅼ M:МΜⅯ N:Ν O:ОΟՕ P:РΡ Q:Ԛ S:Ѕ T:ТΤ V:Ⅴ W:Ԝ X:ХΧⅩ Y:ΥҮ Z:Ζ "
-    "a:а c:сⅽ d:ԁⅾ e:е g:ɡ h:һհ i:іⅰ j:ј l:ⅼ m:ⅿ o:оοօ p:р q:ԛ s:ѕ v:νⅴ w:ԝ x:хⅹ y:у"
+    "A:АΑᎪ B:ВΒᏴ C:СⅭϹᏟ D:ⅮᎠ E:ЕΕᎬ G:ԌᏀ H:НΗᎻ I:ІΙⅠӀ J:ЈͿᎫ K:КΚᏦ L:ⅬᏞ M:МΜⅯᎷ N:Ν O:ОΟՕ P:РΡᏢ Q:Ԛ R:Ꭱ S:ЅᏚ T:ТΤᎢ U:Ս V:ⅤѴᏙ W:ԜᎳ X:ХΧⅩ Y:ΥҮ Z:ΖᏃ "
+    "a:а c:сⅽϲ d:ԁⅾ e:е g:ɡց h:һհ i:іⅰ j:јϳյ l:ⅼӏ m:ⅿ n:ո o:оοօ p:р q:ԛ s:ѕ u:ս v:νⅴѵ w:ԝ x:хⅹ y:у"
 )
 # Hyphens, and characters beside those of category Cf that show nothing.
 HYPHENS = "‐‑﹣－"
@@ -127,18 +131,23 @@ def rewriter(patterns: dict[str, str]):
     for pattern, form in patterns.items():
         machine.add_word(pattern, (len(pattern), form))
     machine.make_automaton()
-    plain = all(not p.isascii() for p in patterns)
+    # no match reaches beyond a run of characters that can occur in patterns; runs, words
+    # mostly, come again and again, so each is rewritten once
+    material = {c for p in patterns for c in p if c.isascii()}
+    runs = re.compile("[^" + re.escape("".join(c for c in map(chr, range(128)) if c not in material)) + "]+")
 
-    def rewrite(text: str) -> str:
-        if plain and text.isascii():
-            return text
-        text = unicodedata.normalize("NFD", text)
+    @lru_cache(1 << 16)
+    def rewritten(run: str) -> str:
         out, at = [], 0
-        for end, (size, form) in machine.iter_long(text):
-            out += (text[at:end - size + 1], form)
+        for end, (size, form) in machine.iter_long(run):
+            out += (run[at:end - size + 1], form)
             at = end + 1
-        out.append(text[at:])
-        return unicodedata.normalize("NFC", "".join(out))
+        return "".join([*out, run[at:]])
+
+    def rewrite(text: str) -> str:
+        if text.isascii() and not material:
+            return text
+        return unicodedata.normalize("NFC", runs.sub(lambda m: rewritten(m[0]), unicodedata.normalize("NFD", text)))
 
     return rewrite
 
@@ -167,9 +176,11 @@ def one_form(df: DataFrame, text: str, form: str = "one_form") -> DataFrame:
 
 
 def _looks(df: DataFrame, key: str, text: str) -> DataFrame:
+    """(id, look, stored), a written table: its readers share one rewriting."""
     rows = df.select(F.col(key).alias("id"), F.col(text).cast("string").alias("txt")).where("id is not null and txt <> ''")
     # 128-bit digests stand for texts from here on
-    return one_form(rows, "txt").select("id", F.unhex(F.md5("one_form")).alias("look"), F.unhex(F.md5("txt")).alias("stored")).distinct()
+    forms = one_form(rows, "txt").select("id", F.unhex(F.md5("one_form")).alias("look"), F.unhex(F.md5("txt")).alias("stored"))
+    return materialise(forms, "looks").distinct()
 
 
 def look_alike_pairs(df: DataFrame, key: str, text: str) -> DataFrame:
