@@ -3,8 +3,9 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
-from mooring.llm import packing
+from mooring.llm import mixing, packing
 from mooring.llm.mixing import mix, prefix_sums
 from mooring.llm.tokens import encoding, with_tokens
 
@@ -43,32 +44,65 @@ def test_every_text_is_packed_once_and_whole_unless_too_large(spark, monkeypatch
     assert report["s"] > 90
 
 
+def index_of(texts, mean):
+    """An index of texts whose words are numbered, with exact document frequencies."""
+    words = sorted({w for t in texts for w in t.split()})
+    frequency = np.array([sum(w in t.split() for t in texts) for w in words], np.float32)
+    lengths = np.array([len(t.split()) for t in texts])
+    return packing.Index(np.array([words.index(w) for t in texts for w in t.split()], int), lengths, frequency, mean, len(texts))
+
+
 def test_scores_are_bm25():
-    texts = ["red fox", "red red dog", "blue dog runs far away"]
-    table = np.zeros(packing.BUCKETS, np.float32)
-    for t in texts:
-        table[packing._term_counts(t)[0]] += 1
-    mean = np.mean([2, 3, 5])
-    index = packing.Index(texts, table, mean, 3)
+    texts = ["red fox", "red red dog", "", "blue dog runs far away"]
+    mean = np.mean([2, 3, 0, 5])
+    index = index_of(texts, mean)
 
     def brute(seed, d):
         total = 0.0
         for w in set(texts[seed].split()):
             tf, df, n = texts[d].split().count(w), sum(w in t.split() for t in texts), len(texts[d].split())
-            total += np.log1p((3 - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * n / mean)) if tf else 0
+            total += np.log1p((4 - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * n / mean)) if tf else 0
         return total
 
-    for s in range(3):
-        assert np.allclose(index.scores(s), [brute(s, d) for d in range(3)], rtol=1e-5)
+    for s in range(4):
+        assert np.allclose(index.scores(s), [brute(s, d) for d in range(4)], rtol=1e-5)
+
+
+def test_terms_and_their_frequencies(spark):
+    rows = [(k, f"Every text has word{k % 3} été_{k % 2} x x") for k in range(12)] + [(20, "--"), (21, "每个 text")]
+    table = packing.encoded(docs(spark, rows).select(F.col("doc_id").alias("id"), F.col("text").alias("txt")), "/opt/tokenizers")
+    encode = encoding().encode_ordinary
+    kept = {r["id"]: np.frombuffer(r["tokens"], np.uint16).tolist() for r in table.collect()}
+    assert kept == {k: encode(t) for k, t in rows}
+    found, mean, n = packing._frequencies(table, encoding().n_vocab)
+    want = Counter(t for tokens in kept.values() for t in set(tokens))
+    assert n == len(rows) and mean == np.mean([len(t) for t in kept.values()])
+    assert {int(t): int(found[t]) for t in np.flatnonzero(found)} == want
 
 
 def test_neighbours_of_the_seed_come_first():
-    texts = ["a b c d e f", "x y z", "a b c", "p q r", "d e f"]
-    table = np.zeros(packing.BUCKETS, np.float32)
-    boxes = packing.fill(np.array([6, 3, 3, 3, 3]), 12, packing.Index(texts, table, 4, 5))
+    index = index_of(["a b c d e f", "x y z", "a b c", "p q r", "d e f"], 4)
+    boxes = packing.fill(np.array([6, 3, 3, 3, 3]), 12, index)
     assert sorted(d for d, _, _ in boxes[0]) == [0, 2, 4]
 
 
+def test_room_goes_to_the_largest_that_fit():
+    g = np.random.default_rng(3)
+    for _ in range(30):
+        sizes = g.integers(0, 30, 80)
+        boxes = packing.fill(sizes, 20, index_of([f"w{k}" for k in range(80)], 1))
+        rest, used = {k: int(n) % 20 or min(int(n), 20) for k, n in enumerate(sizes) if n}, set()
+        for box in [b for b in boxes if b[0][2] < 20 or len(b) > 1 or sizes[b[0][0]] <= 20]:
+            room = 20
+            for d, _, tokens in box:
+                fits = [(n, k) for k, n in rest.items() if k not in used and n <= room]
+                assert (tokens, d) == max(fits) and tokens == rest[d]
+                used.add(d)
+                room -= tokens
+            assert not [1 for k, n in rest.items() if k not in used and n <= room]
+        assert used == set(rest)
+
+
 def fills(spark, rows, capacity):
     plans = spark.createDataFrame([("p", capacity)], "plan_id string, capacity_tokens long")
     got = packing.pack(docs(spark, rows), plans)
@@ -175,3 +209,24 @@ def test_mixing_empty_tables(spark):
     assert mix(sized(spark, []), none)[1].count() == 0
     chosen, shares = mix(sized(spark, []), spark.createDataFrame([("m", "s", 1.0, 2)], TARGET))
     assert chosen.count() == 0 and [r["tokens"] for r in shares.collect()] == [0]
+
+
+def test_ranges_follow_the_number_of_records(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "RANGE_ROWS", 10)
+    rows = [("big", k, k % 7 + 1) for k in range(400)] + [("small", 1000 + k, 5) for k in range(3)]
+    got = mixing.prefix_sums(spark.createDataFrame(rows, "source string, doc_id long, tokens long"), "source", "doc_id", "tokens", 3).collect()
+    for source in ("big", "small"):
+        mine = sorted((r for r in got if r["source"] == source), key=lambda r: r["before"])
+        ahead = 0
+        for r in mine:
+            assert r["before"] == ahead
+            ahead += r["tokens"]
+        assert all(r["whole"] == ahead for r in mine)
+
+
+def test_the_largest_mix_that_meets_all_shares(spark):
+    table = spark.createDataFrame([("a", k, 1) for k in range(1000)] + [("b", 5000 + k, 1) for k in range(50)], "source string, doc_id long, tokens long")
+    targets = spark.createDataFrame([("m", "a", 0.8, 1), ("m", "b", 0.2, 2), ("n", "a", 0.5, 1), ("n", "none", 0.5, 9)], "mix_id string, source string, target_share double, max_repeats int")
+    shares = {(r["mix_id"], r["source"]): r for r in mix(table, targets, "reachable")[1].collect()}
+    assert shares["m", "b"]["tokens"] == 100 and shares["m", "a"]["tokens"] == 400 and abs(shares["m", "a"]["actual_share"] - 0.8) < 1e-9
+    assert shares["n", "a"]["tokens"] == 0 and shares["n", "a"]["actual_share"] is None
