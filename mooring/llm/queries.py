@@ -84,6 +84,20 @@ def p6_report(spark: SparkSession, sf: str) -> DataFrame:
     return packing_report(pack(docs, plans), plans)
 
 
+def p6_whole(spark: SparkSession, sf: str) -> DataFrame:
+    """What must hold of every plan's containers: all documents with text come out, each piece
+    once, none beyond the capacity, and only texts larger than that are split."""
+    docs, plans = _table(spark, sf, "documents"), _table(spark, sf, "pack_plans")
+    packed = materialise(pack(docs, plans), "packed")
+    boxes = packed.groupBy("plan_id", "container_id").agg(F.sum("tokens").alias("used")).join(F.broadcast(plans), "plan_id")
+    fits = boxes.groupBy("plan_id").agg(F.count_if(F.col("used") > F.col("capacity_tokens")).alias("overfull"))
+    per_doc = packed.groupBy("plan_id", "id").agg(F.count("*").alias("n"), F.countDistinct("piece").alias("pieces"), F.max("piece").alias("last"), F.sum("tokens").alias("size")).join(F.broadcast(plans), "plan_id")
+    sums = per_doc.groupBy("plan_id").agg(
+        F.count("*").alias("documents"), F.count_if((F.col("n") > F.col("pieces")) | (F.col("last") + 1 != F.col("pieces"))).alias("torn"),
+        F.count_if(F.col("pieces") != F.ceil(F.col("size") / F.col("capacity_tokens"))).alias("needlessly_split"))
+    return sums.join(fits, "plan_id").select("plan_id", "documents", "torn", "needlessly_split", "overfull")
+
+
 def _mix(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
     sized = materialise(with_tokens(_table(spark, sf, "documents").select("doc_id", "source", "text"), "text"), "sizes")
     return mix(sized, _table(spark, sf, "mix_targets"))
@@ -99,6 +113,23 @@ def p7_shares(spark: SparkSession, sf: str) -> DataFrame:
     return _mix(spark, sf)[1]
 
 
+def _by_characters(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    docs = _table(spark, sf, "documents").select("source", "doc_id", F.length("text").cast("long").alias("tokens"))
+    return mix(docs, _table(spark, sf, "mix_targets"))
+
+
+def p7_mix_characters(spark: SparkSession, sf: str) -> DataFrame:
+    """As p7_mix with sizes in characters, which SQL can count."""
+    return _by_characters(spark, sf)[0].withColumnsRenamed({"tokens": "characters"}).withColumn("repeats", F.col("repeats").cast("long"))
+
+
+def p7_shares_characters(spark: SparkSession, sf: str) -> DataFrame:
+    """As p7_shares with sizes in characters."""
+    shares = _by_characters(spark, sf)[1]
+    return shares.select("mix_id", "source", F.col("available_tokens").alias("available"), F.col("tokens").alias("characters"), "docs",
+                         F.col("most_repeats").cast("long").alias("most_repeats"), F.round("actual_share", 6).alias("actual_share"))
+
+
 def p8_found(spark: SparkSession, sf: str) -> DataFrame:
     """Pairs of documents that read the same but aren't stored alike."""
     pairs = L.look_alike_pairs(_table(spark, sf, "documents"), "doc_id", "text")
@@ -118,7 +149,7 @@ def p8_classes(spark: SparkSession, sf: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    p1_found, p1_top_scores, p2_found, p2_groups, p3_found, p3_cluster_summary, p6_pack, p6_report, p7_mix, p7_shares,
+    p1_found, p1_top_scores, p2_found, p2_groups, p3_found, p3_cluster_summary, p6_pack, p6_report, p6_whole, p7_mix, p7_shares, p7_mix_characters, p7_shares_characters,
     p8_found, p8_one_form, p8_classes)}
 
 _BEST = """
@@ -145,7 +176,60 @@ _ALIKE = """
     reach(x, y) AS (SELECT x, y FROM links UNION SELECT r.x, l.y FROM reach r JOIN links l ON r.y = l.x),
     found AS (SELECT least(x, min(y)) AS cluster_id, x AS node_id FROM reach GROUP BY x)"""
 
+_MIX = """
+    sized AS (SELECT source, doc_id, length(text) AS size, ('0x' || substr(md5('0|' || doc_id), 1, 13))::BIGINT AS h FROM documents
+              WHERE source IN (SELECT source FROM mix_targets) AND doc_id IS NOT NULL AND length(text) > 0),
+    placed AS (SELECT *, sum(size) OVER (PARTITION BY source ORDER BY h, doc_id ROWS UNBOUNDED PRECEDING) - size AS before FROM sized),
+    wholes AS (SELECT source, sum(size) AS whole FROM sized GROUP BY 1),
+    targets AS (SELECT mix_id, source, target_share, max_repeats, coalesce(whole, 0) AS whole FROM mix_targets LEFT JOIN wholes USING (source)),
+    budgets AS (SELECT *, least(target_share * sum(whole) OVER (PARTITION BY mix_id), (max_repeats * whole)::DOUBLE) AS budget FROM targets),
+    epochs AS (SELECT *, CASE WHEN whole > 0 THEN floor(budget / whole) ELSE 0 END AS full_times FROM budgets),
+    chosen AS (SELECT mix_id, source, doc_id, size::BIGINT AS characters,
+                      least(full_times + CASE WHEN before + size / 2.0 <= budget - full_times * whole THEN 1 ELSE 0 END, max_repeats)::BIGINT AS repeats
+               FROM placed JOIN epochs USING (source)),
+    taken AS (SELECT * FROM chosen WHERE repeats > 0)"""
+
+
+def _looks_sql() -> str:
+    """Texts in one form by translation of composed characters; which member of a class stands
+    for it doesn't matter to what is equal, so frequencies aren't needed."""
+    import sys
+    import unicodedata
+
+    forms = L.Classes(L.look_alikes()).rewriting({})
+    if any(len(p) > 1 for p in forms):
+        raise ValueError("patterns of several characters can't be translated")
+    gone, spelt, single = [], [], []
+    for code in (c for c in range(sys.maxunicode + 1) if not 0xD800 <= c < 0xE000):
+        char = chr(code)
+        form = unicodedata.normalize("NFC", "".join(forms.get(c, c) for c in unicodedata.normalize("NFD", char)))
+        if unicodedata.normalize("NFC", char) == char != form:
+            (gone if not form else single if len(form) == 1 else spelt).append((char, form))
+    text = "nfc_normalize(text)"
+    for char, form in spelt:
+        text = f"replace({text}, '{char}', '{form}')"
+    quoted = lambda s: s.replace("'", "''")
+    source, target = "".join(c for c, _ in [*single, *gone]), "".join(f for _, f in single)
+    return f"""
+    looks AS (SELECT DISTINCT doc_id AS id, text, nfc_normalize(translate({text}, '{quoted(source)}', '{quoted(target)}')) AS look
+              FROM documents WHERE doc_id IS NOT NULL AND text <> '')"""
+
+
 ORACLES = {
+    "p6_whole": """
+SELECT plan_id, (SELECT count(*) FROM documents WHERE doc_id IS NOT NULL AND text <> '') AS documents, 0::BIGINT AS torn, 0::BIGINT AS needlessly_split, 0::BIGINT AS overfull
+FROM pack_plans WHERE capacity_tokens > 0""",
+    "p7_mix_characters": f"WITH {_MIX} SELECT mix_id, source, doc_id, characters, repeats FROM taken",
+    "p7_shares_characters": f"""
+WITH {_MIX}, got AS (SELECT mix_id, source, sum(characters * repeats)::BIGINT AS characters, count(*) AS docs, max(repeats) AS most_repeats FROM taken GROUP BY 1, 2)
+SELECT mix_id, source, whole::BIGINT AS available, coalesce(characters, 0)::BIGINT AS characters, coalesce(docs, 0) AS docs, coalesce(most_repeats, 0) AS most_repeats,
+    round(coalesce(characters, 0) / nullif(sum(characters) OVER (PARTITION BY mix_id), 0), 6) AS actual_share FROM targets LEFT JOIN got USING (mix_id, source)""",
+    "p8_found": f"""
+WITH {_looks_sql()}
+SELECT DISTINCT a.id AS doc_id_a, b.id AS doc_id_b FROM looks a JOIN looks b ON a.look = b.look AND a.id < b.id AND a.text <> b.text""",
+    "p8_classes": f"""
+WITH {_looks_sql()}
+SELECT min(id) OVER (PARTITION BY look) AS class_id, id AS doc_id, (SELECT count(DISTINCT text) FROM looks b WHERE b.look = a.look) AS forms, count(*) OVER (PARTITION BY look) AS members FROM looks a""",
     "p1_found": f"""
 WITH best AS ({_BEST})
 SELECT query_id, node_id FROM best
