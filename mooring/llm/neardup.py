@@ -1,10 +1,11 @@
 """Near-duplicate texts: a byte-position inverted index with count filtering.
 
 A text is the set of its distinct neighbouring word pairs.  Every word pair is hashed
-to a *positional byte*: the hash's upper bits name a position in one very long, sparse
-byte string and its lowest 8 bits are the byte stored there.  Two texts that share a
-word pair hold the same byte at the same position, so the number of shared positional
-bytes is the number of shared word pairs.
+to a *positional byte*: 56 bits of the hash are a position in one very long, sparse byte
+string, the other 8 the byte stored there.  Two texts that share a word pair hold the same
+byte at the same position, so the number of shared positional bytes is the number of
+shared word pairs, unless two word pairs of a pair of texts hash alike (a chance of about
+2^-64 for each two).  The inverted index has a list for every (position, byte).
 
 With sizes a and b, a similarity of at least t needs ``need = ceil(t/(1+t)*(a+b))``
 shared positional bytes.  That guaranteed minimum drives every step, and none of them
@@ -20,8 +21,10 @@ can lose a pair that reaches it:
   must reach ``need``;
 * verify: the surviving pairs' whole sets are intersected.
 
-Equal texts are one class from the start and are never paired with each other in the
-index, however many there are.
+Equal texts, by 128-bit hashes, are one class from the start and are never paired with each
+other in the index, however many there are.  A list that the sketch says may be longer than
+LIST_TEXTS is split: each of its parts holds all of its texts, but looks up only its own
+share of them.
 """
 
 from __future__ import annotations
@@ -39,12 +42,15 @@ from mooring.shared import broadcast_array, materialise
 
 #: White space and ASCII punctuation, between which the words of a text lie (fixed values).
 SEPARATORS = r"[\s\x1c-\x1f\x85\p{Z}!-/:-@\[-`{-~]+"
+#: Texts of one list of the index that are looked up in one part of it.
+LIST_TEXTS = 4096
 #: Floating point must not raise a bound above an exact threshold.
 EPS = 1e-9
 
 
 def word_pairs(text: Column) -> Column:
-    """Hashes of the distinct ordered pairs of neighbouring words, in order of their values."""
+    """The positional bytes of the distinct ordered pairs of neighbouring words, as position
+    times 256 plus byte, in order of their values."""
     words = F.filter(F.split(F.lower(text), SEPARATORS), lambda w: w != "")
     pairs = F.zip_with(words, F.slice(words, F.lit(2), F.greatest(F.size(words), F.lit(1))), lambda x, y: F.when(y.isNotNull(), F.xxhash64(x, y)))
     return F.array_sort(F.array_distinct(F.filter(pairs, lambda h: h.isNotNull())))
@@ -90,13 +96,18 @@ def _postings(rank, t: float):
                 maps[half][full] = np.bitwise_or.reduceat(np.where((mixed >> np.uint64(6)) == half, bit, np.uint64(0)), start[full]) if len(slot) else 0
             lookup = size - np.ceil(t * size - EPS).astype(np.int64) + 1
             index = size - np.ceil(2 * t / (1 + t) * size - EPS).astype(np.int64) + 1
-            keep = pos < lookup[row]
-            r = row[keep]
+            keep = np.flatnonzero(pos < lookup[row])
+            # a long list has several parts; a text is in all of them and looked up by one
+            parts = 1 + counts[slot[keep] & (len(counts) - 1)].astype(np.int64) // LIST_TEXTS
             ids = batch.column("rep").to_numpy()
+            own = (ids[row[keep]] % parts)
+            keep, own = np.repeat(keep, parts), np.repeat(own, parts)
+            part = np.arange(len(keep)) - np.repeat(np.cumsum(parts) - parts, parts)
+            r = row[keep]
             yield pa.RecordBatch.from_arrays(
-                [pa.array(slot[keep]), pa.array(ids[r]), pa.array(size[r].astype(np.int32)), pa.array(pos[keep].astype(np.int32)),
-                 pa.array(pos[keep] < index[r]), pa.array(maps[0][r].view(np.int64)), pa.array(maps[1][r].view(np.int64))],
-                names=["slot", "rep", "size", "pos", "indexed", "map0", "map1"])
+                [pa.array(slot[keep] >> 8), pa.array((slot[keep] & 255).astype(np.uint8).view(np.int8)), pa.array(part.astype(np.int32)), pa.array(ids[r]), pa.array(size[r].astype(np.int32)),
+                 pa.array(pos[keep].astype(np.int32)), pa.array((pos[keep] < index[r]) & (part == own)), pa.array(maps[0][r].view(np.int64)), pa.array(maps[1][r].view(np.int64))],
+                names=["position", "byte", "part", "rep", "size", "pos", "indexed", "map0", "map1"])
 
     return run
 
@@ -107,16 +118,16 @@ def similar_sets(sets: DataFrame, threshold: float) -> DataFrame:
     t = threshold
     rank = _sketch(sets)
     postings = sets.mapInArrow(
-        _postings(rank, t), "slot long, rep long, size int, pos int, indexed boolean, map0 long, map1 long")
-    # one exchange serves both sides of the self-join; AQE splits a hot slot
-    postings = postings.repartition("slot")
+        _postings(rank, t), "position long, byte byte, part int, rep long, size int, pos int, indexed boolean, map0 long, map1 long")
+    # one exchange serves both sides of the self-join; a hot list is in parts already
+    postings = postings.repartition("position", "byte", "part")
     a, b = postings.alias("a"), postings.alias("b")
     need = F.ceil(F.lit(t / (1 + t)) * (F.col("a.size") + F.col("b.size")) - F.lit(EPS))
     rest = F.least(F.col("a.size") - F.col("a.pos"), F.col("b.size") - F.col("b.pos"))
     apart = F.bit_count(F.col("a.map0").bitwiseXOR(F.col("b.map0"))) + F.bit_count(F.col("a.map1").bitwiseXOR(F.col("b.map1")))
     hits = a.join(
         b,
-        (F.col("a.slot") == F.col("b.slot")) & F.col("a.indexed")
+        (F.col("a.position") == F.col("b.position")) & (F.col("a.byte") == F.col("b.byte")) & (F.col("a.part") == F.col("b.part")) & F.col("a.indexed")
         & ((F.col("a.size") < F.col("b.size")) | ((F.col("a.size") == F.col("b.size")) & (F.col("a.rep") < F.col("b.rep"))))
         & (rest >= need) & (apart <= F.col("a.size") + F.col("b.size") - 2 * need)
         & (F.col("a.size") >= F.lit(t) * F.col("b.size") - F.lit(EPS)),
@@ -138,15 +149,17 @@ def similar_sets(sets: DataFrame, threshold: float) -> DataFrame:
 
 def text_classes(df: DataFrame, key: str, text: str) -> tuple[DataFrame, DataFrame]:
     """(members, sets), both written tables: members has each distinct (id, rep), sets one
-    row (rep, slots) per distinct text.  rep is the hash of a text of at least two words."""
+    row (rep, slots) per distinct text of at least two words, numbered by rep.  Texts are
+    told apart by 128 bits."""
     inner = SEPARATORS[1:-2]
     rows = df.select(F.col(key).alias("id"), F.col(text).alias("txt")).where(
         F.col("id").isNotNull() & F.col("txt").rlike(f"[^{inner}][{inner}]+[^{inner}]"))
-    hashed = rows.withColumn("rep", F.xxhash64("txt"))
+    hashed = rows.withColumns({"h": F.xxhash64("txt"), "g": F.xxhash64(F.lit(1), "txt")})
     # only hashes are shuffled with the ids; each text is shuffled once per task that holds it
-    members = materialise(hashed.select("id", "rep").distinct(), "members")
-    texts = hashed.select("rep", "txt").dropDuplicates(["rep"])
-    return members, materialise(texts.select("rep", word_pairs(F.col("txt")).alias("slots")), "sets")
+    texts = hashed.select("h", "g", "txt").dropDuplicates(["h", "g"])
+    sets = materialise(texts.select("h", "g", F.monotonically_increasing_id().alias("rep"), word_pairs(F.col("txt")).alias("slots")), "sets")
+    members = hashed.select("id", "h", "g").distinct().join(sets.select("h", "g", "rep"), ["h", "g"]).select("id", "rep")
+    return materialise(members, "members"), sets.select("rep", "slots")
 
 
 def near_duplicate_pairs(df: DataFrame, key: str, text: str, threshold: float = 0.6) -> DataFrame:

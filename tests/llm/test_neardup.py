@@ -72,6 +72,33 @@ def test_groups_are_components_and_every_text_has_one(spark):
     assert {(x["group_id"], x["id"]) for x in got} == want and len(got) == len(want)
 
 
+def test_a_list_in_most_texts_is_split(spark, monkeypatch):
+    monkeypatch.setattr(neardup, "LIST_TEXTS", 10)
+    r = random.Random(6)
+    # short texts: their indexed part holds the word pair that nearly all of them share
+    rows = [(f"n{k}", f"the common {r.choice(WORDS[:6])} {r.choice(WORDS[:6])}") for k in range(150)] + rows_of(r, 40)
+    got = [tuple(x) for x in neardup.near_duplicate_pairs(frame(spark, rows), "id", "txt", 0.3).collect()]
+    assert len(got) == len(set(got)) and set(got) == brute(rows, 0.3)
+    _, sets = neardup.text_classes(frame(spark, rows), "id", "txt")
+    kinds = "position long, byte byte, part int, rep long, size int, pos int, indexed boolean, map0 long, map1 long"
+    made = sets.mapInArrow(neardup._postings(neardup._sketch(sets), 0.3), kinds).collect()
+    lists = {}
+    for x in made:
+        lists.setdefault((x["position"], x["byte"]), []).append(x)
+    hot = max(lists.values(), key=len)
+    parts = {x["part"] for x in hot}
+    assert len(parts) > 3 and len({x["rep"] for x in hot}) * len(parts) == len(hot)
+    own = [x["rep"] for x in hot if x["indexed"]]
+    assert len(own) == len(set(own)) and max(sum(x["indexed"] for x in hot if x["part"] == p) for p in parts) <= 12
+
+
+def test_a_positional_byte_is_a_word_pair(spark):
+    from pyspark.sql import functions as F
+
+    one = spark.createDataFrame([("a b",), ("b a",), ("A, b",)], "t string").select(neardup.word_pairs(F.col("t")).alias("s"), F.xxhash64(F.lit("a"), F.lit("b")).alias("h")).collect()
+    assert one[0]["s"] == one[2]["s"] == [one[0]["h"]] != one[1]["s"]
+
+
 def test_empty_tables(spark):
     assert neardup.near_duplicate_pairs(frame(spark, []), "id", "txt").count() == 0
     assert neardup.near_duplicate_groups(frame(spark, []), "id", "txt").count() == 0
