@@ -119,8 +119,7 @@ def similar_sets(sets: DataFrame, threshold: float) -> DataFrame:
     rank = _sketch(sets)
     postings = sets.mapInArrow(
         _postings(rank, t), "position long, byte byte, part int, rep long, size int, pos int, indexed boolean, map0 long, map1 long")
-    # one exchange serves both sides of the self-join; a hot list is in parts already
-    postings = postings.repartition("position", "byte", "part")
+    # a hot list is in parts already; the indexed side ships its own, fewer rows
     a, b = postings.alias("a"), postings.alias("b")
     need = F.ceil(F.lit(t / (1 + t)) * (F.col("a.size") + F.col("b.size")) - F.lit(EPS))
     rest = F.least(F.col("a.size") - F.col("a.pos"), F.col("b.size") - F.col("b.pos"))
