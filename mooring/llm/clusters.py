@@ -4,31 +4,33 @@ Two records are alike if their vectors have one length and a cosine of at least
 threshold.  Equal vectors are collapsed first.  Then:
 
 1. *Blocks.*  Each vector is turned by a few fixed random rotations.  Under each, it is
-   put into the cells of its ``probes`` largest coordinates (with their signs).  The
-   number of rotations is chosen for each length of vectors, so that ``miss`` bounds the
-   chance that a pair exactly at the threshold is compared under none of them, misses
-   inside large blocks included; closer pairs are missed far more rarely.  A cell with more
-   rows than a block holds is cut into blocks, and every pair of its blocks is a task
-   of its own, so a hot cell costs more tasks and not a larger one.
-2. *Neighbours.*  A block's rows are joined with each other by matrix products.  What
-   leaves the block is not its pairs: it is each row's number of neighbours, its nearest
-   denser neighbour, and one link between any two of the trees that these make, so the
-   block's connected components are kept.  Rows of a large block are held against leaders, so a dense
-   crowd costs its size and not its square.
-3. *Peaks.*  A record's density is its largest neighbour count in a block.  Each record
-   points to its nearest denser alike neighbour; those without one are peaks, and
-   following the pointers labels every record with its peak.
-4. *Joined peaks.*  Peaks whose followers are linked across labels belong together when
-   clusters are to be maximal connected sets; they are merged by connected components.
-
-Vectors travel as 16-bit floats.  Links within the rounding error of the threshold are
-checked against the 64-bit vectors before they count.
+   put into the cells of its ``probes`` largest coordinates (with their signs), or of
+   combinations of several rotations' where a table is so large that one rotation's cells
+   would not fit a task.  The number of rotations is chosen for each length of vectors, so
+   that ``miss`` bounds the chance that a pair exactly at the threshold is compared under
+   none of them; closer pairs are missed far more rarely.  A cell with more rows than a task
+   holds is cut into parts, and every pair of its parts is a task of its own.  A task joins
+   its rows by matrix products in 32 bits.  Of the pairs that may be alike it hands on as
+   few as keep its connected rows connected, and it doesn't compare rows that are connected
+   already, so a dense crowd costs little.  What is connected over all tasks is a block: no
+   two records of different blocks are alike.
+2. *Densities.*  The rows of a block are joined with each other by 64-bit products.  A
+   record's density is the number of other records alike to it.
+3. *Peaks.*  Each record points to its nearest denser alike record (of equally dense ones
+   that of smaller id counts as denser); those without one are peaks, and following the
+   pointers labels every record with its peak.
+4. *Joined peaks.*  Peaks whose followers are alike across labels belong together when
+   clusters are to be maximal connected sets.
+
+Blocks of more than PART_ROWS vectors are cut into parts as well, every pair of which is a
+task, twice: for the densities, and then for the pointers.  Results don't depend on it.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 from functools import lru_cache
+from itertools import product
 from math import ceil, log
 
 import numpy as np
@@ -38,17 +40,21 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from mooring.llm.components import connected_components
-from mooring.shared import materialise
-
-#: Rows of one block; a task holds two at most.
-BLOCK_ROWS = 300_000
-#: Rows that are joined by one full matrix product, and leaders held at once beyond that.
-FULL_ROWS = 2048
-#: A bound on the error of a cosine of 16-bit vectors.
-ROUNDING = 2e-3
-#: The chance that a block of many rows misses a pair at the threshold that lies in it; the
-#: number of rotations makes up for it.
+from mooring.shared import materialise, release
+
+#: Bytes of the 16-bit vectors of one part of a cell; a task holds two parts at most.
+PART_BYTES = 32 << 20
+#: Rows above which a task turns its rows once more before it compares them.
+FULL_ROWS = 32_768
+#: Vectors of one part of a block.
+PART_ROWS = 16_384
+#: A bound on the error of a cosine of 16-bit vectors, and of one of 64-bit vectors.
+ROUNDING, EPS = 2e-3, 1e-12
+#: The chance that a task that turns its rows again misses a pair at the threshold; the number
+#: of rotations makes up for it.
 INNER_MISS = 0.005
+#: Products that a task holds at once.
+TILE = 1 << 20
 
 
 def rotation(dim: int, number: int) -> np.ndarray:
@@ -70,21 +76,29 @@ def shared_cell_chance(dim: int, cosine: float, probes: int, trials: int = 4000)
     return float((a[:, :, None] == b[:, None, :]).any((1, 2)).mean())
 
 
-def rotations(dim: int, threshold: float, miss: float, probes: int) -> int:
-    """How many rotations bound by ``miss`` the chance that a pair of vectors of length ``dim``
-    at the threshold is never compared.  Rotations of large blocks differ between these, so
-    their misses are independent."""
-    chance = shared_cell_chance(dim, threshold, probes) * (1 - INNER_MISS)
+def rotations(dim: int, threshold: float, miss: float, probes: int, depth: int = 1) -> int:
+    """How many times ``depth`` rotations bound by ``miss`` the chance that a pair of vectors of
+    length ``dim`` at the threshold is never compared.  Tasks of different ones turn large
+    inputs differently, so their misses are independent."""
+    chance = shared_cell_chance(dim, threshold, probes) ** depth * (1 - INNER_MISS)
     return 1 if chance >= 1 else max(1, ceil(log(miss) / log(1 - chance)))
 
 
+def depth_of(dim: int, rows: int, probes: int, part_bytes: int = PART_BYTES) -> int:
+    """How many coordinates make a cell, so that an average one of ``rows`` vectors fits a part."""
+    cells, depth = max(2.0, 2 * dim / min(probes, dim)), 1
+    while rows / cells**depth > part_bytes / (2 * dim) and depth < 6:
+        depth += 1
+    return depth
+
+
 def _top_cells(turned: np.ndarray, probes: int) -> np.ndarray:
     p = min(probes, turned.shape[1])
     top = np.argpartition(-np.abs(turned), p - 1, axis=1)[:, :p]
     return top * 2 + (np.take_along_axis(turned, top, 1) < 0)
 
 
-def _cells(threshold: float, miss: float, probes: int):
+def _cells(threshold: float, miss: float, probes: int, depths: dict[int, int]):
     """(dim, spin, cell, rep, vec16) rows: the cells of each vector, vectors as float16 bytes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -93,28 +107,28 @@ def _cells(threshold: float, miss: float, probes: int):
             lists = batch.column("vec")
             dims = lists.value_lengths().to_numpy(zero_copy_only=False)
             flat, start = lists.flatten().to_numpy(zero_copy_only=False), np.r_[0, np.cumsum(dims)]
-            for d in np.unique(dims):
+            for d in np.unique(dims).tolist():
                 rows = np.flatnonzero(dims == d)
-                x = flat[start[rows][:, None] + np.arange(d)]
-                x = (x / np.abs(x).max(1, keepdims=True))
-                x = (x / np.linalg.norm(x, axis=1, keepdims=True)).astype(np.float32)
+                x = unit(flat[start[rows][:, None] + np.arange(d)]).astype(np.float32)
                 small = x.astype(np.float16)
                 vec = pa.Array.from_buffers(pa.binary(), len(rows), [None, pa.py_buffer((np.arange(len(rows) + 1) * d * 2).astype(np.int32)), pa.py_buffer(np.ascontiguousarray(small).tobytes())])
-                for spin in range(rotations(int(d), threshold, miss, probes)):
-                    cells = _top_cells(x @ rotation(int(d), spin), probes)
-                    for p in range(cells.shape[1]):
+                depth = depths[d]
+                for spin in range(rotations(d, threshold, miss, probes, depth)):
+                    each = [_top_cells(x @ rotation(d, spin * depth + t), probes) for t in range(depth)]
+                    for places in product(range(each[0].shape[1]), repeat=depth):
+                        cell = sum(c[:, p].astype(np.int64) * (2 * d) ** t for t, (c, p) in enumerate(zip(each, places)))
                         yield pa.RecordBatch.from_arrays(
-                            [pa.array(np.full(len(rows), d, np.int32)), pa.array(np.full(len(rows), spin, np.int32)), pa.array(cells[:, p].astype(np.int32)), pa.array(reps[rows]), vec],
+                            [pa.array(np.full(len(rows), d, np.int32)), pa.array(np.full(len(rows), spin, np.int32)), pa.array(cell), pa.array(reps[rows]), vec],
                             names=["dim", "spin", "cell", "rep", "vec"])
 
     return run
 
 
-def _cell_counts(threshold: float, miss: float, probes: int):
+def _cell_counts(threshold: float, miss: float, probes: int, depths: dict[int, int]):
     """(dim, spin, cell, n) per batch: the sizes of the cells without their rows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in _cells(threshold, miss, probes)(batches):
+        for batch in _cells(threshold, miss, probes, depths)(batches):
             cell, n = np.unique(batch.column("cell").to_numpy(), return_counts=True)
             dim, spin = batch.column("dim")[0].as_py(), batch.column("spin")[0].as_py()
             yield pa.RecordBatch.from_arrays([pa.array(np.full(len(cell), v, np.int32)) for v in (dim, spin)] + [pa.array(cell), pa.array(n)], names=["dim", "spin", "cell", "n"])
@@ -122,6 +136,12 @@ def _cell_counts(threshold: float, miss: float, probes: int):
     return run
 
 
+def unit(x: np.ndarray) -> np.ndarray:
+    """Rows of length 1, however large or small they were."""
+    x = x / np.abs(x).max(-1, keepdims=True)
+    return x / np.linalg.norm(x, axis=-1, keepdims=True)
+
+
 def _roots(up: np.ndarray) -> np.ndarray:
     """Where following ``up`` ends."""
     while (up[up] != up).any():
@@ -129,264 +149,319 @@ def _roots(up: np.ndarray) -> np.ndarray:
     return up
 
 
-def _thinned(n: int, a: np.ndarray, b: np.ndarray, cosine: np.ndarray, degree: np.ndarray):
-    """Of the links a-b of n rows, those to each row's nearest denser neighbour, and one
-    between any two of the trees that these make."""
-    rank = np.empty(n, int)
-    rank[np.lexsort((np.arange(n), -degree))] = np.arange(n)
-    low, high = np.where(rank[a] > rank[b], a, b), np.where(rank[a] > rank[b], b, a)
-    order = np.lexsort((rank[high], -cosine, low))
-    first = order[np.unique(low[order], return_index=True)[1]]
-    up = np.arange(n)
-    up[low[first]] = high[first]
-    root = _roots(up)
-    apart = np.flatnonzero(root[a] != root[b])
-    x, y = root[a[apart]], root[b[apart]]
-    bridges = apart[np.unique(np.minimum(x, y) * n + np.maximum(x, y), return_index=True)[1]]
-    return up, a[bridges], b[bridges]
-
-
-def _full(x: np.ndarray, low: float, high: float):
-    """(degree, up, a, b) of a block of few rows: counts of sure neighbours, nearest denser
-    neighbours, a link between any two of the trees these make, and every pair in the band
-    that needs a check."""
-    s = x @ x.T
-    n = len(x)
-    near = s >= high
-    np.fill_diagonal(near, True)
-    degree = near.sum(1) - 1
-    rank = np.empty(n, int)
-    rank[np.lexsort((np.arange(n), -degree))] = np.arange(n)
-    upward = np.where(near & (rank[None, :] < rank[:, None]), s, np.float32(-2))
-    best = upward.argmax(1)
-    up = np.where(upward[np.arange(n), best] > -2, best, np.arange(n))
-    root = _roots(up)
-    i, j = np.nonzero(near & (root[:, None] < root[None, :]))
-    first = np.unique(root[i] * n + root[j], return_index=True)[1]
-    ba, bb = np.nonzero(np.triu((s >= low) & ~near, 1))
-    return degree, up, np.concatenate([i[first], ba]), np.concatenate([j[first], bb])
-
-
-def _led(x: np.ndarray, low: float, high: float):
-    """As _full, for many rows: rows near a leader are joined to it, and leaders, few where
-    rows crowd, are compared instead of rows.  Pairs of rows of different leaders are only
-    compared where the triangle inequality lets one be alike and no link is known yet."""
-    n, leaders = len(x), np.zeros(0, int)
-    for at in range(0, n, FULL_ROWS):
-        rows = np.arange(at, min(at + FULL_ROWS, n))
-        if len(leaders):
-            rows = rows[~(x[rows] @ x[leaders].T >= high).any(1)]
-        s, free, new = x[rows] @ x[rows].T >= high, np.ones(len(rows), bool), []
-        for i in range(len(rows)):
-            if free[i]:
-                new.append(rows[i])
-                free &= ~s[i]
-        leaders = np.r_[leaders, np.array(new, int)]
-    owner, best, degree = np.zeros(n, int), np.zeros(n, np.float32), np.zeros(n, int)
-    sizes = np.zeros(len(leaders), int)
-    for at in range(0, n, FULL_ROWS):
-        s = x[at:at + FULL_ROWS] @ x[leaders].T
-        owner[at:at + FULL_ROWS], best[at:at + FULL_ROWS] = s.argmax(1), s.max(1)
-    owner[leaders], best[leaders] = np.arange(len(leaders)), 1
-    np.add.at(sizes, owner, 1)
-    out_a, out_b = [], []
-    joined: set[tuple[int, int]] = set()
-    for at in range(0, n, FULL_ROWS):
-        near = x[at:at + FULL_ROWS] @ x[leaders].T >= low
-        sure = x[at:at + FULL_ROWS] @ x[leaders].T >= high
-        degree[at:at + FULL_ROWS] = sure @ sizes - 1
-        i, j = np.nonzero(near)
-        own = owner[at + i]
-        other = j != own
-        i, j, own = i[other], j[other], own[other]
-        firm = sure[i, j]
-        key = own[firm] * len(leaders) + j[firm]
-        _, first = np.unique(key, return_index=True)
-        out_a.append(at + i[firm][first]), out_b.append(leaders[j[firm][first]])
-        joined.update(zip(own[firm][first].tolist(), j[firm][first].tolist()))
-        out_a.append(at + i[~firm]), out_b.append(leaders[j[~firm]])
-    order = np.argsort(owner, kind="stable")
-    cut = np.r_[0, np.cumsum(sizes)]
-    reach = np.zeros(len(leaders))
-    np.maximum.at(reach, owner, np.arccos(np.clip(best, -1, 1)))
-    theta = np.arccos(min(1.0, low))
-    for at in range(0, len(leaders), FULL_ROWS):
-        angle = np.arccos(np.clip(x[leaders[at:at + FULL_ROWS]] @ x[leaders].T, -1, 1))
-        p, q = np.nonzero(angle <= reach[at:at + FULL_ROWS, None] + reach[None, :] + theta)
-        for u, v in zip((p + at).tolist(), q.tolist()):
-            if u >= v or (u, v) in joined or (v, u) in joined:
-                continue
-            first, second = order[cut[u]:cut[u + 1]], order[cut[v]:cut[v + 1]]
-            for r in range(0, len(first), FULL_ROWS):
-                s = x[first[r:r + FULL_ROWS]] @ x[second].T if len(second) <= 8 * FULL_ROWS else None
-                parts = [(s, 0)] if s is not None else ((x[first[r:r + FULL_ROWS]] @ x[second[c:c + FULL_ROWS]].T, c) for c in range(0, len(second), FULL_ROWS))
-                done = False
-                for block, c in parts:
-                    k = int(block.argmax())
-                    i, j = divmod(k, block.shape[1])
-                    if block[i, j] >= high:
-                        out_a.append(np.array([first[r + i]])), out_b.append(np.array([second[c + j]]))
-                        done = True
-                        break
-                    i, j = np.nonzero(block >= low)
-                    out_a.append(first[r + i]), out_b.append(second[c + j])
-                if done:
-                    break
-    empty = [np.zeros(0, int)]
-    return degree, leaders[owner], np.concatenate(out_a or empty), np.concatenate(out_b or empty)
-
-
-def _sub_blocks(x: np.ndarray, low: float, high: float, dim: int, spin: int = 0):
-    """Links and degrees of one block: at once if it is small, else by further rotations of
-    two coordinates each whose cells are small; a cell that stays large is a crowd.  One
-    block misses a pair by INNER_MISS; its rotations are those of ``spin``, so blocks of
-    other spins miss it independently."""
-    if len(x) <= FULL_ROWS:
-        return _full(x, low, high)
-    n, chance = len(x), shared_cell_chance(dim, low, 1) ** 2
-    turns = max(1, ceil(log(INNER_MISS) / log(1 - chance))) if chance < 1 else 1
-    degree, out_a, out_b = np.zeros(n, int), [], []
+class Connected:
+    """Which of n rows are connected so far, and the links that made them so."""
+
+    def __init__(self, n: int):
+        self.label, self.links = np.arange(n), []
+
+    def join(self, a: np.ndarray, b: np.ndarray) -> None:
+        """Connects a[k] with b[k]; of these links as many are kept as there are sets fewer."""
+        x, y = self.label[a], self.label[b]
+        up = np.arange(len(self.label))
+        while len(apart := np.flatnonzero(x != y)):
+            a, b, x, y = a[apart], b[apart], x[apart], y[apart]
+            # every set that isn't the lowest of those it meets joins the lowest one
+            high, low = np.maximum(x, y), np.minimum(x, y)
+            first = np.lexsort((low, high))
+            first = first[np.r_[True, np.diff(high[first]) != 0]]
+            up[high[first]] = low[first]
+            self.links.append((a[first], b[first]))
+            up = _roots(up)
+            x, y = up[x], up[y]
+        self.label = up[self.label]
+
+    def pairs(self) -> tuple[np.ndarray, np.ndarray]:
+        if not self.links:
+            return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        return tuple(np.concatenate(side) for side in zip(*self.links))
+
+
+def _connect(x: np.ndarray, rows: np.ndarray, low: float, found: Connected) -> None:
+    """Connects all of ``rows`` whose cosine is at least ``low``.  Rows are taken by their sets,
+    and rows of one set are only compared with those of others."""
+    while len(rows) > 1:
+        rows = rows[np.argsort(found.label[rows], kind="stable")]
+        label = found.label[rows]
+        size = max(1, TILE // len(rows))
+        own = int(np.searchsorted(label, label[0], side="right"))
+        # as many rows of the first set as a tile holds, or else rows of several sets
+        take = min(own, 8 * size) if own > size // 2 else min(size, len(rows))
+        tile = rows[:take]
+        others = rows[own:] if take <= own and own > 1 else rows
+        for at in range(0, len(tile) if len(others) else 0, max(1, TILE // max(1, len(others)))):
+            part = tile[at:at + max(1, TILE // len(others))]
+            hit = np.flatnonzero(x[part] @ x[others].T >= low)
+            found.join(part[hit // len(others)], others[hit % len(others)])
+        rows = rows[take:]
+
+
+def _task_links(x: np.ndarray, low: float, spin: int, probes: int) -> tuple[np.ndarray, np.ndarray]:
+    """Links that connect all rows of a task that may be alike.  Many rows are turned again and
+    compared by cells; one task misses a pair by INNER_MISS then, independently of others."""
+    n, dim = x.shape
+    found = Connected(n)
+    if n <= FULL_ROWS:
+        _connect(x, np.arange(n), low, found)
+        return found.pairs()
+    chance = shared_cell_chance(dim, low, probes)
+    turns = 1 if chance >= 1 else max(1, ceil(log(INNER_MISS) / log(1 - chance)))
     for turn in range(turns):
-        number = 1000 + 2 * (spin * turns + turn)
-        key = _top_cells(x @ rotation(dim, number), 1)[:, 0].astype(np.int64) * (2 * dim) + _top_cells(x @ rotation(dim, number + 1), 1)[:, 0]
-        order = np.argsort(key, kind="stable")
-        starts = np.flatnonzero(np.r_[True, key[order][1:] != key[order][:-1]])
-        sizes = np.diff(np.r_[starts, n])
-        for width in np.unique(sizes[(sizes > 1) & (sizes <= 8)]):
-            rows = order[starts[sizes == width][:, None] + np.arange(width)]
-            s = np.matmul(x[rows], x[rows].transpose(0, 2, 1))
-            degree[rows] = np.maximum(degree[rows], (s >= high).sum(2) - 1)
-            g, i, j = np.nonzero(np.triu(s >= low, 1))
-            out_a.append(rows[g, i]), out_b.append(rows[g, j])
-        for at, width in zip(starts[sizes > 8], sizes[sizes > 8]):
-            rows = order[at:at + width]
-            d, up, a, b = (_full if width <= FULL_ROWS else _led)(x[rows], low, high)
-            degree[rows] = np.maximum(degree[rows], d)
-            out_a += [rows, rows[a]]
-            out_b += [rows[up], rows[b]]
-    a, b = np.concatenate(out_a or [np.zeros(0, int)]), np.concatenate(out_b or [np.zeros(0, int)])
-    pair = np.unique(np.minimum(a, b)[a != b] * n + np.maximum(a, b)[a != b])
-    a, b = pair // n, pair % n
-    cosine = np.einsum("ij,ij->i", x[a], x[b])
-    sure = cosine >= high
-    up, ca, cb = _thinned(n, a[sure], b[sure], cosine[sure], degree)
-    return degree, up, np.concatenate([ca, a[~sure]]), np.concatenate([cb, b[~sure]])
-
-
-def _links_of_block(threshold: float) -> Callable[[pd.DataFrame], pd.DataFrame]:
+        cells = _top_cells(x @ rotation(dim, 1_000_000 + spin * turns + turn), probes)
+        for cell in np.unique(cells):
+            _connect(x, np.flatnonzero((cells == cell).any(1)), low, found)
+    return found.pairs()
+
+
+def _links_of_task(threshold: float, probes: int):
     def run(block: pd.DataFrame) -> pd.DataFrame:
         ids, first = np.unique(block["rep"].to_numpy(), return_index=True)
         dim = int(block["dim"].iloc[0])
-        if len(ids) < 2:
-            return pd.DataFrame({"a": ids, "b": ids, "cosine": np.ones(len(ids), np.float32), "degree": np.zeros(len(ids), int)})[:0]
         x = np.frombuffer(b"".join(block["vec"].to_numpy()[first]), np.float16).reshape(len(ids), dim).astype(np.float32)
-        degree, up, a, b = _sub_blocks(x, threshold - ROUNDING, threshold + ROUNDING, dim, int(block["spin"].iloc[0]))
-        own = np.flatnonzero(degree)
-        a, b, degree = np.r_[own, a], np.r_[up[own], b], np.r_[degree[own], np.zeros(len(a), int)]
-        cosine = np.minimum(1, np.einsum("ij,ij->i", x[a], x[b])).astype(np.float32)
-        return pd.DataFrame({"a": ids[a], "b": ids[b], "cosine": cosine, "degree": degree})
+        a, b = _task_links(x, threshold - ROUNDING, int(block["spin"].iloc[0]), probes)
+        return pd.DataFrame({"a": ids[a], "b": ids[b]})
 
     return run
 
 
 def distinct_vectors(df: DataFrame, key: str, vector: str) -> tuple[DataFrame, DataFrame]:
     """(members, vectors), both written tables: members has each distinct (id, rep), vectors
-    one row (rep, vec) per distinct vector."""
+    one row (rep, vec) per distinct vector, numbered by rep.  Vectors are told apart by 128
+    bits."""
     rows = df.select(F.col(key).alias("id"), F.col(vector).cast("array<double>").alias("vec")).where(
         F.col("id").isNotNull() & (F.size("vec") > 0)
         & F.forall("vec", lambda v: v.isNotNull() & (F.abs(v) < float("inf")))
         & F.exists("vec", lambda v: v != 0))
-    hashed = rows.withColumn("rep", F.xxhash64("vec"))
-    members = materialise(hashed.select("id", "rep").distinct(), "members")
-    return members, materialise(hashed.select("rep", "vec").dropDuplicates(["rep"]), "vectors")
+    hashed = rows.withColumns({"h": F.xxhash64("vec"), "g": F.xxhash64(F.lit(1), "vec")})
+    vectors = materialise(hashed.select("h", "g", "vec").dropDuplicates(["h", "g"]).withColumn("rep", F.monotonically_increasing_id()), "vectors")
+    members = hashed.select("id", "h", "g").distinct().join(vectors.select("h", "g", "rep"), ["h", "g"]).select("id", "rep")
+    return materialise(members, "members"), vectors.select("rep", "vec")
 
 
-def alike_links(vectors: DataFrame, threshold: float, miss: float = 1e-4, probes: int = 3, block_rows: int = BLOCK_ROWS) -> DataFrame:
-    """(a, b, cosine, degree): sparse verified links of distinct vectors; degree is a's largest
-    neighbour count in a block where it has this link, and a = b where it is the densest."""
+def candidate_links(vectors: DataFrame, threshold: float, miss: float = 1e-4, probes: int = 3, part_bytes: int = PART_BYTES) -> DataFrame:
+    """(a, b), a written table: few links that connect all vectors that may be alike."""
     spark = vectors.sparkSession
-    cells = vectors.mapInArrow(_cells(threshold, miss, probes), "dim int, spin int, cell int, rep long, vec binary")
-    # cells per rotation are few (twice the vectors' length), so their counts are small
-    hot = {tuple(r)[:3]: ceil(r["n"] / block_rows) for r in
-           vectors.mapInArrow(_cell_counts(threshold, miss, probes), "dim int, spin int, cell int, n long")
-           .groupBy("dim", "spin", "cell").agg(F.sum("n").alias("n")).where(F.col("n") > block_rows).collect()}
+    counts = {r["d"]: r["n"] for r in vectors.groupBy(F.size("vec").alias("d")).agg(F.count("*").alias("n")).collect()}  # one row a length
+    depths = {d: depth_of(d, n, probes, part_bytes) for d, n in counts.items()}
+    cells = vectors.mapInArrow(_cells(threshold, miss, probes, depths), "dim int, spin int, cell long, rep long, vec binary")
+    # only cells beyond a part are collected, whose number is bounded by the rows over a part's
+    sizes = vectors.mapInArrow(_cell_counts(threshold, miss, probes, depths), "dim int, spin int, cell long, n long").groupBy("dim", "spin", "cell").agg(F.sum("n").alias("n"))
+    hot = [(*tuple(r)[:3], ceil(r["n"] * 2 * r["dim"] / part_bytes)) for r in sizes.where(F.col("n") * 2 * F.col("dim") > part_bytes).collect()]
     if hot:
-        parts = spark.createDataFrame([(*k, n) for k, n in hot.items()], "dim int, spin int, cell int, parts int")
+        parts = spark.createDataFrame(hot, "dim int, spin int, cell long, parts int")
         cells = cells.join(F.broadcast(parts), ["dim", "spin", "cell"], "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
         own = F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int")
-        cells = cells.withColumn("own", own).withColumn(
-            "part", F.explode(F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda o: F.least(o, F.col("own")) * F.col("parts") + F.greatest(o, F.col("own")))))
+        cells = cells.withColumn("own", own).withColumn("part", F.explode(_pairs_of(F.col("own"), F.col("parts"))))
     else:
         cells = cells.withColumn("part", F.lit(0))
-    found = cells.groupBy("dim", "spin", "cell", "part").applyInPandas(
-        _links_of_block(threshold), "a long, b long, cosine float, degree long")
-    found = found.groupBy("a", "b").agg(F.max("degree").alias("degree"), F.max("cosine").alias("cosine"))
-    found = materialise(found, "found")
-    band = found.where((F.col("a") != F.col("b")) & (F.abs(F.col("cosine") - threshold) < 2 * ROUNDING))
-    left = vectors.select(F.col("rep").alias("a"), F.col("vec").alias("x"))
-    right = vectors.select(F.col("rep").alias("b"), F.col("vec").alias("y"))
-    exact = (band.join(left, "a").join(right, "b")
-             .where(_cosine("x", "y") >= threshold - 1e-12).select("a", "b", "cosine", "degree"))
-    sure = found.where((F.col("a") == F.col("b")) | (F.col("cosine") >= threshold + 2 * ROUNDING)).select("a", "b", "cosine", "degree")
-    return materialise(sure.unionByName(exact), "links") if not band.isEmpty() else sure
+    return materialise(cells.groupBy("dim", "spin", "cell", "part").applyInPandas(_links_of_task(threshold, probes), "a long, b long").distinct(), "links")
+
+
+def _pairs_of(own, parts):
+    """The pairs of parts that a row of part ``own`` is in, as numbers."""
+    return F.transform(F.sequence(F.lit(0), parts - 1), lambda o: F.least(o, own) * parts + F.greatest(o, own))
+
+
+def _denser(density: np.ndarray, other: np.ndarray, place: np.ndarray, of: np.ndarray) -> np.ndarray:
+    """Whether the columns' rows are denser than the rows', the earlier one of equals."""
+    return (other > density) | ((other == density) & (of < place))
+
+
+def small_blocks(x: np.ndarray, weight: np.ndarray, threshold: float):
+    """(density, up, label) of several blocks of one size, x (blocks, rows, dim): the number of
+    other records alike, the place of the nearest denser row, and the first row connected."""
+    s = x @ x.transpose(0, 2, 1)
+    near = s >= threshold - EPS
+    n = x.shape[1]
+    near[:, np.arange(n), np.arange(n)] = True
+    density = (near * weight[:, None, :]).sum(2) - 1
+    place = np.broadcast_to(np.arange(n), density.shape)
+    above = near & _denser(density[:, :, None], density[:, None, :], place[:, :, None], place[:, None, :])
+    up = np.where(above.any(2), np.where(above, s, -2).argmax(2), place)
+    label = place
+    while ((new := np.where(near, label[:, None, :], n).min(2)) != label).any():
+        label = new
+    return density, up, label
+
+
+def large_block(x: np.ndarray, weight: np.ndarray, threshold: float):
+    """As small_blocks, for one block, by tiles."""
+    n, step = len(x), max(1, TILE // len(x))
+    density, up, found = np.zeros(n, np.int64), np.arange(n), Connected(n)
+    for at in range(0, n, step):
+        near = x[at:at + step] @ x.T >= threshold - EPS
+        near[np.arange(len(near)), np.arange(at, at + len(near))] = True
+        density[at:at + step] = near @ weight - 1
+    place = np.arange(n)
+    for at in range(0, n, step):
+        s = x[at:at + step] @ x.T
+        near = s >= threshold - EPS
+        i, j = np.nonzero(near)
+        found.join(at + i, j)
+        above = near & _denser(density[at:at + step, None], density[None, :], place[at:at + step, None], place[None, :])
+        up[at:at + step] = np.where(above.any(1), np.where(above, s, -2).argmax(1), place[at:at + step])
+    return density, up, found.label
+
+
+def _whole_blocks(threshold: float):
+    """Densities, peaks and components of blocks, whose rows follow each other in order of
+    their names, many blocks at a time."""
+    names = ["rep", "density", "peak", "component"]
+
+    def solved(table: pa.Table) -> pa.RecordBatch:
+        rep, block, weight = (table[c].to_numpy() for c in ("rep", "block", "weight"))
+        lists = pa.concat_arrays(table["vec"].chunks)
+        dims = lists.value_lengths().to_numpy(zero_copy_only=False)
+        flat, start = lists.flatten().to_numpy(zero_copy_only=False), np.r_[0, np.cumsum(dims)]
+        first = np.flatnonzero(np.r_[True, block[1:] != block[:-1]])
+        size = np.diff(np.r_[first, len(block)])
+        density, peak, component = (np.zeros(len(rep), np.int64) for _ in range(3))
+        kinds = np.stack([size, dims[first]], 1)
+        for n, d in np.unique(kinds, axis=0).tolist():
+            of = first[(kinds == (n, d)).all(1)]
+            group = max(1, TILE // (n * n)) if n * n <= TILE else 1
+            for at in range(0, len(of), group):
+                rows = of[at:at + group, None] + np.arange(n)
+                x = unit(flat[start[rows][..., None] + np.arange(d)])
+                if n * n <= TILE:
+                    dense, up, label = small_blocks(x, weight[rows], threshold)
+                else:
+                    dense, up, label = (v[None] for v in large_block(x[0], weight[rows[0]], threshold))
+                while ((more := np.take_along_axis(up, up, 1)) != up).any():
+                    up = more
+                density[rows] = dense
+                peak[rows], component[rows] = (rep[np.take_along_axis(rows, v, 1)] for v in (up, label))
+        return pa.RecordBatch.from_arrays([*map(pa.array, (rep, density, peak, component))], names=names)
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        rows = 0
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            held.append(batch)
+            rows += batch.num_rows
+            if rows >= PART_ROWS:
+                table = pa.Table.from_batches(held)
+                block = table["block"].to_numpy()
+                cut = int(np.searchsorted(block, block[-1]))
+                if cut:
+                    yield solved(table.slice(0, cut))
+                held, rows = table.slice(cut).to_batches(), len(block) - cut
+        if rows:
+            yield solved(pa.Table.from_batches(held))
 
-def _cosine(x: str, y: str):
-    dot = lambda p, q: F.aggregate(F.zip_with(p, q, lambda u, v: u * v), F.lit(0.0), lambda s, v: s + v)
-    return dot(x, y) / F.sqrt(dot(x, x)) / F.sqrt(dot(y, y))
+    return run
 
 
 def _follow(pointers: DataFrame, rounds: int = 64) -> DataFrame:
     """(rep, peak): pointer doubling over (rep, up); roots point to themselves."""
-    now = pointers
+    now = materialise(pointers, "pointers")
     for _ in range(rounds):
         ahead = now.select(F.col("rep").alias("up"), F.col("up").alias("next"))
-        now = materialise(now.join(ahead, "up").select("rep", F.col("next").alias("up"), (F.col("up") != F.col("next")).alias("moved")), "pointers")
+        was, now = now, materialise(now.select("rep", "up").join(ahead, "up").select("rep", F.col("next").alias("up"), (F.col("up") != F.col("next")).alias("moved")), "pointers")
+        release(was)
         if now.where("moved").isEmpty():
             return now.select("rep", F.col("up").alias("peak"))
-        now = now.select("rep", "up")
     raise RuntimeError("pointers have a cycle")
 
 
-def density_peaks(vectors: DataFrame, threshold: float, miss: float = 1e-4, block_rows: int = BLOCK_ROWS) -> DataFrame:
-    """(rep, density, peak, component) for every vector with an alike one; a component is a
-    maximal set of vectors connected by likeness, made of one or more peaks' followers."""
-    links = alike_links(vectors, threshold, miss, block_rows=block_rows)
-    density = links.groupBy("a").agg(F.max("degree").alias("d"))
-    pairs = links.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "cosine")
-    both = pairs.select(F.inline(F.array(F.struct(F.col("a").alias("u"), F.col("b").alias("v"), "cosine"), F.struct(F.col("b").alias("u"), F.col("a").alias("v"), "cosine"))))
-    # density first, then the smaller id: a strict order, so pointers can't form a cycle
-    ranked = (both.join(density.select(F.col("a").alias("u"), F.col("d").alias("du")), "u", "left")
-              .join(density.select(F.col("a").alias("v"), F.col("d").alias("dv")), "v", "left")
-              .select("u", "v", "cosine", F.coalesce("du", F.lit(0)).alias("du"), F.coalesce("dv", F.lit(0)).alias("dv")))
-    denser = (F.col("dv") > F.col("du")) | ((F.col("dv") == F.col("du")) & (F.col("v") < F.col("u")))
-    pointers = materialise(ranked.groupBy("u").agg(
-        F.max("du").alias("density"), F.max(F.when(denser, F.struct("cosine", (-F.col("v")).alias("w"), F.col("v").alias("to")))).alias("best"))
-        .select(F.col("u").alias("rep"), "density", F.coalesce("best.to", "u").alias("up")), "up")
-    peaks = materialise(_follow(pointers.select("rep", "up")), "peaks")
-    across = (pairs.join(peaks.select(F.col("rep").alias("a"), F.col("peak").alias("pa")), "a")
-              .join(peaks.select(F.col("rep").alias("b"), F.col("peak").alias("pb")), "b")
-              .where("pa <> pb").select("pa", "pb").distinct())
-    merged = connected_components(across, "pa", "pb").select(F.col("node").alias("peak"), "component")
-    return (pointers.select("rep", "density").join(peaks, "rep").join(merged, "peak", "left")
-            .select("rep", "density", "peak", F.coalesce("component", "peak").alias("component")))
-
-
-def clusters(df: DataFrame, key: str, vector: str, threshold: float = 0.9, miss: float = 1e-4, block_rows: int = BLOCK_ROWS) -> DataFrame:
-    """One row (cluster_id, id, density, is_peak) per id that is alike to another id, step by
-    step; cluster_id is the cluster's smallest id.
+def _cut_blocks(rows: DataFrame, sizes: DataFrame, threshold: float, part_rows: int) -> DataFrame:
+    """As _whole_blocks for ``rows`` (block, rep, name, weight, vec) of blocks of more than
+    part_rows rows, ``sizes`` (block, n): every pair of a block's parts is a task."""
+    large = sizes.where(F.col("n") > part_rows).select("block", F.ceil(F.col("n") / part_rows).cast("int").alias("parts"))
+
+    def paired(df: DataFrame) -> DataFrame:
+        own = F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int")
+        return df.join(F.broadcast(large), "block").withColumn("own", own).withColumn("pair", F.explode(_pairs_of(F.col("own"), F.col("parts"))))
+
+    def sides(t: pd.DataFrame):
+        """Rows of the pair's first part against all of its second."""
+        x, parts = unit(np.stack(t["vec"])), int(t["parts"].iloc[0])
+        i, j = divmod(int(t["pair"].iloc[0]), parts)
+        own = t["own"].to_numpy()
+        a, b = np.flatnonzero(own == i), np.flatnonzero(own == j)
+        step = max(1, TILE // max(1, len(b)))
+        for at in range(0, len(a), step):
+            yield a[at:at + step], b, x[a[at:at + step]] @ x[b].T, i != j
+
+    def dense(t: pd.DataFrame) -> pd.DataFrame:
+        weight, out = t["weight"].to_numpy(), np.zeros(len(t), np.int64)
+        for a, b, s, both in sides(t):
+            near = s >= threshold - EPS
+            near |= a[:, None] == b[None, :]
+            out[a] += near @ weight[b]
+            if both:
+                out[b] += weight[a] @ near
+        return pd.DataFrame({"rep": t["rep"], "density": out})
+
+    def point(t: pd.DataFrame) -> pd.DataFrame:
+        rep, density = t["rep"].to_numpy(), t["density"].to_numpy()
+        place = np.empty(len(t), np.int64)
+        place[np.argsort(t["name"].to_numpy(), kind="stable")] = np.arange(len(t))
+        best, up, found = np.full(len(t), -2.0), np.arange(len(t)), Connected(len(t))
+        for a, b, s, both in sides(t):
+            near = s >= threshold - EPS
+            i, j = np.nonzero(near)
+            found.join(a[i], b[j])
+            for rows, columns, sim, alike in ((a, b, s, near), (b, a, s.T, near.T))[:1 + both]:
+                above = alike & _denser(density[rows, None], density[None, columns], place[rows, None], place[None, columns])
+                sim = np.where(above, sim, -2)
+                at = sim.argmax(1)
+                value = sim[np.arange(len(rows)), at]
+                better = value > best[rows]
+                best[rows[better]], up[rows[better]] = value[better], columns[at[better]]
+        a, b = found.pairs()
+        return pd.DataFrame({"rep": np.r_[rep, rep[a]], "up": np.r_[rep[up], rep[b]], "cosine": np.r_[best, np.zeros(len(a))], "link": np.arange(len(rep) + len(a)) >= len(rep)})
+
+    tasks = paired(rows.select("block", "rep", "weight", "vec")).groupBy("block", "pair")
+    density = materialise(tasks.applyInPandas(dense, "rep long, density long").groupBy("rep").agg((F.sum("density") - 1).alias("density")), "density")
+    tasks = paired(rows.join(density, "rep")).groupBy("block", "pair")
+    found = materialise(tasks.applyInPandas(point, "rep long, up long, cosine double, link boolean"), "found")
+    pointers = found.where(~F.col("link")).groupBy("rep").agg(F.max_by("up", "cosine").alias("up"))
+    links = found.where("link")
+    component = connected_components(links, "rep", "up").select(F.col("node").alias("rep"), "component")
+    return _follow(pointers).join(density, "rep").join(component, "rep", "left").select("rep", "density", "peak", F.coalesce("component", "rep").alias("component"))
+
+
+def density_peaks(vectors: DataFrame, names: DataFrame, threshold: float, miss: float = 1e-4, part_bytes: int = PART_BYTES, part_rows: int = PART_ROWS) -> DataFrame:
+    """(rep, density, peak, component), a written table, for every vector with another one in
+    its block; a component is a maximal set of vectors connected by likeness, made of one or
+    more peaks' followers.  ``names`` (rep, name, weight) has each vector's smallest id and
+    number of ids."""
+    links = candidate_links(vectors, threshold, miss, part_bytes=part_bytes)
+    blocks = materialise(connected_components(links, "a", "b").select(F.col("node").alias("rep"), F.col("component").alias("block")), "blocks")
+    rows = blocks.join(vectors, "rep").join(names, "rep").select("block", "rep", "name", "weight", "vec")
+    sizes = blocks.groupBy("block").agg(F.count("*").alias("n"))
+    result = "rep long, density long, peak long, component long"
+    large = sizes.where(F.col("n") > part_rows)
+    if large.isEmpty():
+        return materialise(rows.repartition("block").sortWithinPartitions("block", "name").mapInArrow(_whole_blocks(threshold), result), "peaks")
+    rows = materialise(rows, "rows")
+    # blocks of more rows than a part are few
+    small = rows.join(F.broadcast(large.select("block")), "block", "left_anti")
+    whole = small.repartition("block").sortWithinPartitions("block", "name").mapInArrow(_whole_blocks(threshold), result)
+    return materialise(whole.unionByName(_cut_blocks(rows, large, threshold, part_rows)), "peaks")
+
+
+def clusters(df: DataFrame, key: str, vector: str, threshold: float = 0.9, miss: float = 1e-4, part_bytes: int = PART_BYTES, part_rows: int = PART_ROWS) -> DataFrame:
+    """One row (cluster_id, id, density, is_peak, size) per id that is alike to another id, step
+    by step; cluster_id is the cluster's smallest id, density the number of other records (ids
+    with their vectors) alike to it.  An id is a peak if none of them is denser, or as dense
+    with a smaller id.
 
     Null ids, null and empty vectors, vectors of zeros and those with null, NaN or infinite
     elements take no part.  Vectors of different lengths are never alike.  Ids with equal
     vectors form a cluster even if no other vector is near.  An id with several vectors
-    connects them.  Repeated rows count once; an empty table gives no rows; other columns
-    are ignored.
+    connects them and has the largest of their densities.  Repeated rows count once; an
+    empty table gives no rows; other columns are ignored.
     """
     members, vectors = distinct_vectors(df, key, vector)
-    peaks = density_peaks(vectors, threshold, miss, block_rows)
-    labelled = (members.join(peaks, "rep", "left")
-                .select("id", "rep", F.coalesce("component", "rep").alias("component"), F.coalesce("density", F.lit(0)).alias("density"),
-                        (F.coalesce("peak", "rep") == F.col("rep")).alias("is_peak")))
+    names = members.groupBy("rep").agg(F.min("id").alias("name"), F.count("*").alias("weight"))
+    peaks = density_peaks(vectors, names, threshold, miss, part_bytes, part_rows)
+    labelled = (members.join(names, "rep").join(peaks, "rep", "left")
+                .select("id", "rep", F.coalesce("component", "rep").alias("component"), F.coalesce("density", F.col("weight") - 1).alias("density"),
+                        ((F.coalesce("peak", "rep") == F.col("rep")) & (F.col("id") == F.col("name"))).alias("is_peak")))
     labelled = materialise(labelled, "labelled")
     # ids with several vectors join their components; usually there are none
     split = labelled.groupBy("id").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("id")

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from mooring.shared import materialise
+from mooring.shared import materialise, release
 
 
 def _both_ways(edges: DataFrame) -> DataFrame:
@@ -40,7 +40,8 @@ def connected_components(edges: DataFrame, a: str, b: str, max_rounds: int = 60)
         .where("a is not null and b is not null and a <> b").distinct(), "edges")
     mark = None
     for _ in range(max_rounds):
-        now = materialise(_small_star(_large_star(now).distinct()).distinct(), "stars")
+        before, now = now, materialise(_small_star(_large_star(now).distinct()).distinct(), "stars")
+        release(before)
         was, mark = mark, now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if was == mark:
             roots = now.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct()

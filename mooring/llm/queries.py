@@ -249,5 +249,14 @@ WITH RECURSIVE {_PAIR_SETS},
                WHERE a.text <> b.text GROUP BY l.x)
 SELECT coalesce(least(s.node_id, low.y), s.node_id) AS group_id, s.node_id, coalesce(degree.links, 0) AS links
 FROM (SELECT DISTINCT node_id FROM sets) s LEFT JOIN low ON low.x = s.node_id LEFT JOIN degree ON degree.x = s.node_id""",
+    "p3_cluster_summary": f"""
+WITH RECURSIVE {_ALIKE},
+    degree AS (SELECT x, count(*) AS density FROM links GROUP BY x),
+    beaten AS (SELECT DISTINCT l.x FROM links l JOIN degree a ON a.x = l.x JOIN degree b ON b.x = l.y WHERE b.density > a.density OR (b.density = a.density AND l.y < l.x)),
+    best AS (SELECT n.node_id AS node_id, max(n.relevance) AS relevance FROM (SELECT unnest(nodes) AS n FROM examples) WHERE n.relevance IS NOT NULL AND NOT isnan(n.relevance) GROUP BY 1),
+    ranked AS (SELECT f.*, beaten.x IS NULL AS peak, count(*) OVER (PARTITION BY cluster_id) AS size,
+        row_number() OVER (PARTITION BY cluster_id ORDER BY density DESC, relevance DESC NULLS LAST, f.node_id) AS place
+        FROM found f JOIN degree d ON d.x = f.node_id LEFT JOIN best USING (node_id) LEFT JOIN beaten ON beaten.x = f.node_id)
+SELECT cluster_id, any_value(size) AS size, count_if(peak)::BIGINT AS peaks, list(node_id ORDER BY place) FILTER (place <= 3) AS typical FROM ranked GROUP BY 1""",
     "p3_found": f"WITH RECURSIVE {_ALIKE} SELECT cluster_id, node_id FROM found",
 }
