@@ -59,8 +59,13 @@ def main(argv: list[str] | None = None) -> int:
         qa, corpus = preparation.numbered(read(a.qa), read(a.corpus), a.dataset)
         if a.limit is not None:
             qa = qa.orderBy("ord").limit(a.limit)
-        vectors = preparation.latent_vectors(preparation.corpus_documents(corpus), a.embedding_dim, a.max_features, questions=qa)
+        if a.max_nodes < 1:
+            raise preparation.RawDataError("--max-nodes must be at least 1")
+        docs = preparation.corpus_documents(corpus)
+        vectors = preparation.latent_vectors(docs, a.embedding_dim, a.max_features, questions=qa)
         records.write_json_lines(preparation.prepare(qa, corpus, a.dataset, a.max_nodes, vectors, a.max_features), a.output)
+        row = vectors.select("embedding").first()
+        print(json.dumps(preparation.prepared_summary(qa, docs, a.dataset, a.max_nodes, row and len(row[0])) | {"output_path": a.output}))
     elif a.command == "grid":
         grid.run_folder(spark, records.read_examples(spark, a.input, a.limit), a.configs, a.dataset, a.output, a.config_files)
     else:

@@ -83,17 +83,19 @@ def terms(text: Column, stop_words: tuple[str, ...] = STOP_WORDS) -> Column:
 
 
 def tfidf(texts: DataFrame, key: str, text: str, max_features: int | None = None) -> DataFrame:
-    """(key, term, w): smooth TF-IDF, ln((1+n)/(1+df))+1 times the count, rows of length 1.
-    ``max_features`` keeps the most frequent terms, the smaller one on ties."""
+    """(key, term, number, w): smooth TF-IDF, ln((1+n)/(1+df))+1 times the count, rows of length
+    1; number is the term's own.  ``max_features`` keeps the most frequent terms, the smaller
+    one on ties."""
     rows = texts.select(F.col(key).alias("key"), F.explode(terms(F.coalesce(F.col(text), F.lit("")))).alias("term"))
     counts = materialise(rows.groupBy("key", "term").agg(F.count("*").alias("tf")), "terms")
     n = texts.count()
     df = counts.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("total"))
     if max_features:
         df = df.orderBy(F.desc("total"), "term").limit(max_features)
-    weighted = counts.join(df, "term").select("key", "term", (F.col("tf") * (F.log((1.0 + n) / (1.0 + F.col("df"))) + 1)).alias("w"))
+    df = materialise(df.select("term", "df", F.monotonically_increasing_id().alias("number")), "vocabulary")
+    weighted = counts.join(df, "term").select("key", "term", "number", (F.col("tf") * (F.log((1.0 + n) / (1.0 + F.col("df"))) + 1)).alias("w"))
     norm = weighted.groupBy("key").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    return weighted.join(norm, "key").select("key", "term", (F.col("w") / F.col("norm")).alias("w"))
+    return weighted.join(norm, "key").select("key", "term", "number", (F.col("w") / F.col("norm")).alias("w"))
 
 
 #: Postings of the documents and of the questions that meet in one task.
@@ -139,38 +141,36 @@ def _block_top(n: int):
 
 
 def tfidf_top(questions: DataFrame, docs: DataFrame, n: int, max_features: int | None = None) -> DataFrame:
-    """(id, node_id, sim, place): the n documents of highest TF-IDF cosine for every question,
-    fitted on both, equal ones by node_id.  Where fewer than n share a term with a question,
+    """(id, node_id, sim, place): the n documents of highest TF-IDF cosine for every question
+    (one row an id; null ids are left out), fitted on both, equal ones by node_id.  Where fewer than n share a term with a question,
     those of smallest node_id follow with 0, so that every question has n or all documents.
 
     Blocks of questions meet blocks of documents' postings, and only each block's best leave
     it, so what is shuffled doesn't grow with the number of matching pairs.
     """
-    both = (docs.select(F.concat(F.lit("d"), "node_id").alias("key"), "text")
-            .unionByName(questions.select(F.concat(F.lit("q"), "id").alias("key"), F.col("question").alias("text"))))
-    w = materialise(tfidf(both, "key", "text", max_features).select(
-        F.substring("key", 1, 1).alias("side"), F.xxhash64("key").alias("code"), F.xxhash64("term").alias("termcode"), "w"), "tfidf")
-    # 64-bit codes stand for keys and terms while postings are multiplied
-    q = w.where("side = 'q'").select(F.col("code").alias("q"), F.col("termcode").alias("qterm"), F.col("w").alias("wq"))
-    d = w.where("side = 'd'").select(F.col("code").alias("d"), F.col("termcode").alias("termcode"), F.col("w").alias("wd"))
+    # numbers stand for documents (even), questions (odd) and terms while postings are multiplied
+    named = materialise(docs.select("node_id", "text", (F.monotonically_increasing_id() * 2).alias("d")), "named")
+    asked = materialise(questions.where("id is not null").select("id", "question", (F.monotonically_increasing_id() * 2 + 1).alias("q")), "asked")
+    both = named.select(F.col("d").alias("key"), "text").unionByName(asked.select(F.col("q").alias("key"), F.col("question").alias("text")))
+    w = materialise(tfidf(both, "key", "text", max_features).select("key", "number", "w"), "tfidf")
+    q = w.where("key % 2 = 1").select(F.col("key").alias("q"), F.col("number").alias("qterm"), F.col("w").alias("wq"))
+    d = w.where("key % 2 = 0").select(F.col("key").alias("d"), F.col("number").alias("termcode"), F.col("w").alias("wd"))
     d = d.join(q.select(F.col("qterm").alias("asked")).distinct(), F.col("termcode") == F.col("asked"), "left_semi")
     nd, nq = (max(8, -(-d.count() // DOC_POSTINGS)), max(1, -(-q.count() // QUESTION_POSTINGS)))
     every = lambda m: F.explode(F.sequence(F.lit(0), F.lit(m - 1)))
-    left = q.select("q", "qterm", "wq", F.pmod("q", F.lit(nq)).cast("int").alias("qb"), every(nd).alias("db")).groupBy("qb", "db")
-    right = d.select("d", "termcode", "wd", F.pmod("d", F.lit(nd)).cast("int").alias("db"), every(nq).alias("qb")).groupBy("qb", "db")
+    left = q.select("q", "qterm", "wq", F.pmod(F.hash("q"), F.lit(nq)).cast("int").alias("qb"), every(nd).alias("db")).groupBy("qb", "db")
+    right = d.select("d", "termcode", "wd", F.pmod(F.hash("d"), F.lit(nd)).cast("int").alias("db"), every(nq).alias("qb")).groupBy("qb", "db")
     sims = left.cogroup(right).applyInPandas(_block_top(n), "q long, d long, sim double")
     # ties at the cut are decided by node_id, so the n best and all that tie with the last go on to be named
     rounded = F.round("sim", 9)
     close = sims.withColumn("r", F.rank().over(Window.partitionBy("q").orderBy(F.desc(rounded)))).where(F.col("r") <= n).drop("r")
-    ids = questions.where("id is not null").select("id", F.xxhash64(F.concat(F.lit("q"), "id")).alias("q")).dropDuplicates(["q"])
-    names = docs.select("node_id", F.xxhash64(F.concat(F.lit("d"), "node_id")).alias("d"))
-    named = close.join(ids, "q").join(names, "d")
+    named = close.join(asked.select("id", "q"), "q").join(named.select("node_id", "d"), "d")
     place = F.row_number().over(Window.partitionBy("id").orderBy(F.desc(rounded), "node_id"))
     best = materialise(named.withColumn("place", place).where(F.col("place") <= n).select("id", "node_id", "sim", F.col("place").cast("long").alias("place")), "best")
     # a question lists n at most, so what fills it up is among the first 2 n documents
     first = docs.select("node_id").orderBy("node_id").limit(2 * n).agg(F.sort_array(F.collect_list("node_id")).alias("first"))
     listed = best.groupBy("id").agg(F.collect_list("node_id").alias("listed"))
-    short = (questions.where("id is not null").select("id").distinct().join(listed, "id", "left").withColumn("listed", F.coalesce("listed", F.array().cast("array<string>")))
+    short = (asked.select("id").join(listed, "id", "left").withColumn("listed", F.coalesce("listed", F.array().cast("array<string>")))
              .where(F.size("listed") < n).join(F.broadcast(first)))  # one row of 2 n ids
     more = short.select("id", F.size("listed").alias("have"), F.posexplode(F.slice(F.array_except("first", "listed"), F.lit(1), F.lit(n) - F.size("listed"))).alias("i", "node_id"))
     return best.unionByName(more.select("id", "node_id", F.lit(0.0).alias("sim"), (F.col("have") + F.col("i") + 1).cast("long").alias("place")))
@@ -211,6 +211,15 @@ def prepare(qa: DataFrame, corpus: DataFrame, dataset: str, max_nodes: int = 600
         F.struct(F.lit(dataset).alias("dataset"), F.col("answers").alias("possible_answers"), F.col("id").alias("raw_id"), F.coalesce(F.size("gold_node_ids"), F.lit(0)).alias("num_gold_nodes")).alias("metadata")))
 
 
+def prepared_summary(qa: DataFrame, docs: DataFrame, dataset: str, max_nodes: int, dim: int | None) -> dict:
+    """Counts that describe a prepared set: its questions, documents, vectors' length, and
+    supporting paragraphs with those that no document matches."""
+    asked = qa.where("id is not null").dropDuplicates(["id"])
+    gold = gold_alignment(asked, docs).agg(F.count("*").alias("total"), F.count_if(F.col("how") == "missing").alias("missing")).first()
+    return {"dataset": dataset, "num_examples": asked.count(), "num_corpus_docs": docs.count(), "embedding_dim_actual": dim, "max_nodes_per_query": max_nodes,
+            "total_support_paragraphs_seen": gold["total"], "missing_support_paragraphs": gold["missing"]}
+
+
 #: Bytes of the block of vectors that a power iteration of latent_vectors broadcasts.
 BASIS_BYTES = 512 << 20
 
