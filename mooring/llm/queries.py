@@ -215,31 +215,61 @@ def _looks_sql() -> str:
               FROM documents WHERE doc_id IS NOT NULL AND text <> '')"""
 
 
-ORACLES = {
-    "p6_whole": """
+def _one_form_sql() -> str:
+    """Texts in one form with the most frequent member of each class, counted over all texts."""
+    import sys
+    import unicodedata
+
+    quoted = lambda s: "'" + s.replace("'", "''") + "'"
+    groups = L.Classes(L.look_alikes()).members()
+    of = {m: root for root, members in groups.items() for m in members}
+    # a class with a string of several characters, or none, is spelt in its parts' classes
+    fixed = {root: min((m for m in members if len(m) != 1), key=lambda m: (len(m), m)) for root, members in groups.items() if any(len(m) != 1 for m in members)}
+    parts = [(c, n, p) for code in range(sys.maxunicode + 1) if not 0xD800 <= code < 0xE000
+             for c in [chr(code)] for d in [unicodedata.normalize("NFD", c)] if unicodedata.normalize("NFC", c) == c and any(x in of for x in d) for n, p in enumerate(d)]
+    spelt = [(m, n, p) for m, root in of.items() if len(m) == 1 and root in fixed for n, p in enumerate(fixed[root])]
+    rows = lambda t: ", ".join("(" + ", ".join(str(v) if isinstance(v, int) else quoted(v) for v in r) + ")" for r in t)
+    singles = [(m, quoted(root)) for m, root in of.items() if len(m) == 1 and root not in fixed]
+    gone = [(m,) for m, root in of.items() if len(m) == 1 and root in fixed and not fixed[root]]
+    return f"""
+    parts(c, n, p) AS (VALUES {rows(parts)}), spelt(m, n, p) AS (VALUES {rows(spelt)}), gone(m) AS (VALUES {rows(gone)}), class_of(m, root) AS (VALUES {rows(singles)}),
+    chars AS (SELECT doc_id, unnest(string_split(nfc_normalize(text), '')) AS c, generate_subscripts(string_split(nfc_normalize(text), ''), 1) AS place FROM documents WHERE text <> ''),
+    pieces AS (SELECT doc_id, place, coalesce(n, 0) AS n, coalesce(p, chars.c) AS m FROM chars LEFT JOIN parts USING (c)),
+    often AS (SELECT m, count(*) AS freq FROM pieces GROUP BY 1),
+    forms AS (SELECT root, arg_min(m, struct_pack(f := -coalesce(freq, 0), m := m)) AS form FROM class_of LEFT JOIN often USING (m) GROUP BY 1),
+    letters AS (SELECT m, form FROM class_of JOIN forms USING (root)),
+    spellings AS (SELECT s.m, string_agg(coalesce(l.form, s.p), '' ORDER BY s.n) AS form FROM spelt s LEFT JOIN letters l ON l.m = s.p GROUP BY 1 UNION ALL SELECT m, '' FROM gone),
+    forms_of AS (SELECT * FROM letters UNION ALL SELECT * FROM spellings),
+    rebuilt AS (SELECT doc_id, nfc_normalize(string_agg(coalesce(form, m), '' ORDER BY place, n)) AS one_form FROM pieces LEFT JOIN forms_of USING (m) GROUP BY 1)"""
+
+
+def _oracles() -> dict[str, str]:
+    return {
+        "p8_one_form": f"WITH {_one_form_sql()} SELECT d.doc_id, CASE WHEN text = '' THEN '' ELSE one_form END AS one_form FROM documents d LEFT JOIN rebuilt USING (doc_id)",
+        "p6_whole": """
 SELECT plan_id, (SELECT count(*) FROM documents WHERE doc_id IS NOT NULL AND text <> '') AS documents, 0::BIGINT AS torn, 0::BIGINT AS needlessly_split, 0::BIGINT AS overfull
 FROM pack_plans WHERE capacity_tokens > 0""",
-    "p7_mix_characters": f"WITH {_MIX} SELECT mix_id, source, doc_id, characters, repeats FROM taken",
-    "p7_shares_characters": f"""
+        "p7_mix_characters": f"WITH {_MIX} SELECT mix_id, source, doc_id, characters, repeats FROM taken",
+        "p7_shares_characters": f"""
 WITH {_MIX}, got AS (SELECT mix_id, source, sum(characters * repeats)::BIGINT AS characters, count(*) AS docs, max(repeats) AS most_repeats FROM taken GROUP BY 1, 2)
 SELECT mix_id, source, whole::BIGINT AS available, coalesce(characters, 0)::BIGINT AS characters, coalesce(docs, 0) AS docs, coalesce(most_repeats, 0) AS most_repeats,
     round(coalesce(characters, 0) / nullif(sum(characters) OVER (PARTITION BY mix_id), 0), 6) AS actual_share FROM targets LEFT JOIN got USING (mix_id, source)""",
-    "p8_found": f"""
+        "p8_found": f"""
 WITH {_looks_sql()}
 SELECT DISTINCT a.id AS doc_id_a, b.id AS doc_id_b FROM looks a JOIN looks b ON a.look = b.look AND a.id < b.id AND a.text <> b.text""",
-    "p8_classes": f"""
+        "p8_classes": f"""
 WITH {_looks_sql()}
 SELECT min(id) OVER (PARTITION BY look) AS class_id, id AS doc_id, (SELECT count(DISTINCT text) FROM looks b WHERE b.look = a.look) AS forms, count(*) OVER (PARTITION BY look) AS members FROM looks a""",
-    "p1_found": f"""
+        "p1_found": f"""
 WITH best AS ({_BEST})
 SELECT query_id, node_id FROM best
 QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY relevance DESC, node_id) <= 5""",
-    "p1_top_scores": f"""
+        "p1_top_scores": f"""
 WITH best AS ({_BEST})
 SELECT query_id, node_id, relevance, row_number() OVER (PARTITION BY query_id ORDER BY relevance DESC, node_id) AS place FROM best
 QUALIFY place <= 10""",
-    "p2_found": f"WITH {_PAIR_SETS} SELECT node_id_a, node_id_b FROM pairs",
-    "p2_groups": f"""
+        "p2_found": f"WITH {_PAIR_SETS} SELECT node_id_a, node_id_b FROM pairs",
+        "p2_groups": f"""
 WITH RECURSIVE {_PAIR_SETS},
     links AS (SELECT node_id_a AS x, node_id_b AS y FROM pairs UNION SELECT node_id_b, node_id_a FROM pairs),
     reach(x, y) AS (SELECT x, y FROM links UNION SELECT r.x, l.y FROM reach r JOIN links l ON r.y = l.x),
@@ -249,7 +279,7 @@ WITH RECURSIVE {_PAIR_SETS},
                WHERE a.text <> b.text GROUP BY l.x)
 SELECT coalesce(least(s.node_id, low.y), s.node_id) AS group_id, s.node_id, coalesce(degree.links, 0) AS links
 FROM (SELECT DISTINCT node_id FROM sets) s LEFT JOIN low ON low.x = s.node_id LEFT JOIN degree ON degree.x = s.node_id""",
-    "p3_cluster_summary": f"""
+        "p3_cluster_summary": f"""
 WITH RECURSIVE {_ALIKE},
     degree AS (SELECT x, count(*) AS density FROM links GROUP BY x),
     beaten AS (SELECT DISTINCT l.x FROM links l JOIN degree a ON a.x = l.x JOIN degree b ON b.x = l.y WHERE b.density > a.density OR (b.density = a.density AND l.y < l.x)),
@@ -258,5 +288,13 @@ WITH RECURSIVE {_ALIKE},
         row_number() OVER (PARTITION BY cluster_id ORDER BY density DESC, relevance DESC NULLS LAST, f.node_id) AS place
         FROM found f JOIN degree d ON d.x = f.node_id LEFT JOIN best USING (node_id) LEFT JOIN beaten ON beaten.x = f.node_id)
 SELECT cluster_id, any_value(size) AS size, count_if(peak)::BIGINT AS peaks, list(node_id ORDER BY place) FILTER (place <= 3) AS typical FROM ranked GROUP BY 1""",
-    "p3_found": f"WITH RECURSIVE {_ALIKE} SELECT cluster_id, node_id FROM found",
-}
+        "p3_found": f"WITH RECURSIVE {_ALIKE} SELECT cluster_id, node_id FROM found",
+    }
+
+
+def __getattr__(name: str):
+    """ORACLES is made when it is first asked for: it takes a second to go through all code points."""
+    if name != "ORACLES":
+        raise AttributeError(name)
+    globals()["ORACLES"] = found = _oracles()
+    return found
