@@ -99,7 +99,7 @@ def tfidf(texts: DataFrame, key: str, text: str, max_features: int | None = None
 
 
 #: Postings of the documents and of the questions that meet in one task.
-DOC_POSTINGS, QUESTION_POSTINGS = 500_000, 200_000
+DOC_POSTINGS, QUESTION_POSTINGS = 4_000_000, 2_000_000
 
 
 def _block_top(n: int):

@@ -7,7 +7,7 @@ from functools import partial
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from mooring.config import Config, Distance, Search, Universe
+from mooring.config import Config, Search
 from mooring.functions import text as T
 from mooring.operators import anchors as A
 from mooring.operators import render as R

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from mooring.functions.text import word_count
-from mooring.operators.flatten import GOLD_LISTS, NODE_KEYS, NODE_LISTS, NODE_TEXTS, QUERY_KEYS, QUERY_TEXTS
+from mooring.operators.flatten import GOLD_LISTS, NODE_KEYS, NODE_LISTS, NODE_TEXTS, QUERY_KEYS
 
 RELEVANCE_KEYS, TYPE_KEYS, TOKEN_KEYS = ("relevance", "score", "query_score"), ("node_type", "type"), ("token_count", "tokens")
 
