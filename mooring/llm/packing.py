@@ -303,7 +303,7 @@ def pack(docs: DataFrame, plans: DataFrame, key: str = "doc_id", text: str = "te
     copies = keyed.groupBy(F.xxhash64("tokens").alias("same")).count().where(F.col("count") > SHARD_DOCS // 4).select("same", F.lit(True).alias("copied"))
     if not copies.isEmpty():
         # copies get random places among the other texts, evenly between quantiles of theirs
-        keyed = keyed.withColumn("same", F.xxhash64("tokens")).join(F.broadcast(copies), "same", "left")
+        keyed = keyed.withColumn("same", F.xxhash64("tokens")).join(copies, "same", "left")
         steps = [k / 1000 for k in range(1001)]
         at = keyed.where("copied is null").agg(F.percentile_approx("near", steps, 10_000)).first()[0]
         if at:
