@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from mooring.operators.universe import query_nodes
 from mooring.plans.retrieval import gold_of
+from mooring.shared import materialise
 
 SIDES = {"context": "context_node_ids", "anchor": "anchors"}
 
@@ -88,10 +89,10 @@ def spearman(pairs: DataFrame, x: str, y: str) -> DataFrame:
     """One row (spearman, reason): Pearson's correlation of mid-ranks; null with a reason for
     fewer than two pairs or a constant side.  Ranks come from counts of distinct values, see
     counts_before."""
-    clean = pairs.select(F.col(x).alias("x"), F.col(y).alias("y")).where("x is not null and y is not null")
+    clean = materialise(pairs.select(F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y")).where("x is not null and y is not null"), "pairs")
 
     def ranked(column: str) -> DataFrame:
-        counts = counts_before(clean.groupBy(column).agg(F.count("*").alias("n")), column)
+        counts = counts_before(materialise(clean.groupBy(column).agg(F.count("*").alias("n")), "counts"), column)
         return counts.select(column, (F.col("before") + (F.col("n") - 1) / 2).alias(f"r{column}"))
 
     joined = clean.join(ranked("x"), "x").join(ranked("y"), "y")
@@ -128,6 +129,9 @@ def evaluate(examples: DataFrame, predictions: DataFrame) -> DataFrame:
         "_before": number("objective_before_refinement"), "_after": number("objective_after_refinement"), "_latency": number("latency_ms"),
         "_node_flag": _flag(rows, "node_budget_satisfied"), "_token_flag": _flag(rows, "token_budget_satisfied"),
         "_accepted": F.coalesce(_diagnostic(rows, "refinement_accepted").cast("boolean"), F.lit(False))})
+    # from here on numbers and settings are enough; scores are made once for all that follows
+    lists = [*SIDES.values(), "anchor_ids", "anchor_node_ids"]
+    rows = materialise(rows.drop(*lists), "scores")
     settings = {n: F.min_by(_diagnostic(rows, n).cast(t), F.when(_diagnostic(rows, n).isNotNull(), F.col("query_id"))).alias(n) for n, t in (
         ("retrieval_variant", "string"), ("renderer", "string"), ("relevance_mode", "string"), ("k", "int"), ("k_max", "int"), ("max_context_nodes", "int"), ("max_context_tokens", "int"))}
     mean = lambda c, name: F.coalesce(F.avg(c), F.lit(0.0)).alias(name)
