@@ -71,18 +71,30 @@ def exact(p: Problem, sample, k: int, max_combinations: int = 1_000_000, require
         i, j = np.triu_indices(n, 1)
         tails, near, worth = np.stack([i, j], 1), np.minimum(d[i], d[j]), price[i] + price[j]
         starts = np.searchsorted(i, np.arange(n + 1))
-    best, found = np.inf, None
-    for head in combinations(range(n), max(0, k - 2)):
-        at = int(starts[head[-1] + 1]) if head else 0
+    # what a head can reach at best: every node as near as it or any later node is, and the
+    # cheapest tail; heads are tried in that order, until none can reach what is found
+    width = max(0, k - 2)
+    heads = np.array(list(combinations(range(n), width)), int).reshape(comb(n, width), width)
+    nodes = np.full((len(heads), n), np.inf)
+    for column in heads.T:
+        np.minimum(nodes, d[column], out=nodes)
+    after = heads[:, -1] + 1 if width else np.zeros(len(heads), int)
+    later = np.vstack([np.minimum.accumulate(d[::-1], 0)[::-1], np.full(n, np.inf)])
+    spent = price[heads].sum(1) + p.anchor_penalty * k
+    reach = np.minimum(nodes, later[after])
+    bound = np.round(np.where(np.isfinite(reach), reach, 0) @ rho + spent + worth.min(), DECIDE)
+    best, found, place = np.inf, None, -1
+    for h in np.argsort(bound, kind="stable").tolist():
+        if bound[h] > best:
+            break
+        at = int(starts[after[h]]) if k > 1 else 0
         if at == len(tails):
             continue
-        rest = near[at:]
-        if head:
-            rest = np.minimum(rest, d[list(head)].min(0))
-        score = np.round(rest @ rho + worth[at:] + (price[list(head)].sum() + p.anchor_penalty * k), DECIDE)
+        score = np.round(np.minimum(near[at:], nodes[h]) @ rho + (worth[at:] + spent[h]), DECIDE)
         m = int(score.argmin())
-        if score[m] < best:
-            best, found = score[m], [*head, *tails[at + m]]
+        # the first combination wins ties, whichever head was tried first
+        if score[m] < best or (score[m] == best and h < place):
+            best, found, place = score[m], [*heads[h], *tails[at + m]], h
     return [int(x) for x in s[found]], True, total
 
 

@@ -94,8 +94,8 @@ def tfidf(texts: DataFrame, key: str, text: str, max_features: int | None = None
         df = df.orderBy(F.desc("total"), "term").limit(max_features)
     df = materialise(df.select("term", "df", F.monotonically_increasing_id().alias("number")), "vocabulary")
     weighted = counts.join(df, "term").select("key", "term", "number", (F.col("tf") * (F.log((1.0 + n) / (1.0 + F.col("df"))) + 1)).alias("w"))
-    norm = weighted.groupBy("key").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    return weighted.join(norm, "key").select("key", "term", "number", (F.col("w") / F.col("norm")).alias("w"))
+    norm = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy("key")))
+    return weighted.select("key", "term", "number", (F.col("w") / norm).alias("w"))
 
 
 #: Postings of the documents and of the questions that meet in one task.
@@ -156,7 +156,8 @@ def tfidf_top(questions: DataFrame, docs: DataFrame, n: int, max_features: int |
     q = w.where("key % 2 = 1").select(F.col("key").alias("q"), F.col("number").alias("qterm"), F.col("w").alias("wq"))
     d = w.where("key % 2 = 0").select(F.col("key").alias("d"), F.col("number").alias("termcode"), F.col("w").alias("wd"))
     d = d.join(q.select(F.col("qterm").alias("asked")).distinct(), F.col("termcode") == F.col("asked"), "left_semi")
-    nd, nq = (max(8, -(-d.count() // DOC_POSTINGS)), max(1, -(-q.count() // QUESTION_POSTINGS)))
+    sizes = dict(map(tuple, w.groupBy((F.col("key") % 2).alias("side")).count().collect()))
+    nd, nq = max(8, -(-sizes.get(0, 0) // DOC_POSTINGS)), max(1, -(-sizes.get(1, 0) // QUESTION_POSTINGS))
     every = lambda m: F.explode(F.sequence(F.lit(0), F.lit(m - 1)))
     left = q.select("q", "qterm", "wq", F.pmod(F.hash("q"), F.lit(nq)).cast("int").alias("qb"), every(nd).alias("db")).groupBy("qb", "db")
     right = d.select("d", "termcode", "wd", F.pmod(F.hash("d"), F.lit(nd)).cast("int").alias("db"), every(nq).alias("qb")).groupBy("qb", "db")
