@@ -47,7 +47,7 @@ def main(argv: list[str] | None = None) -> int:
         c = replace(c, experiment=replace(c.experiment, limit_queries=None))
         records.write_json_lines(retrieval.retrieve(records.read_examples(spark, a.input, limit), c), a.output)
     elif a.command == "eval":
-        row = evaluation.evaluate(records.read_examples(spark, a.input, a.limit), records.read_predictions(spark, a.predictions)).first()
+        row = evaluation.evaluate(records.read_examples(spark, a.input, a.limit, numbered=True), records.read_predictions(spark, a.predictions)).first()
         records.describe_run(row.asDict(recursive=True), a.output)
     elif a.command == "validate-data":
         row = records.validate(records.read_examples(spark, a.input, a.limit)).first()

@@ -40,7 +40,8 @@ def query_scores(examples: DataFrame, predictions: DataFrame) -> DataFrame:
     once in hits and precision, each time in sizes.  anchor_node_ids go before anchor_ids.
     """
     gold = gold_of(examples)
-    queries = examples.select("query_id").where("query_id is not null").distinct()
+    order = F.min("ord") if "ord" in examples.columns else F.lit(0)
+    queries = examples.where("query_id is not null").groupBy("query_id").agg(order.cast("long").alias("_place"))
     sizes = gold.groupBy("query_id").agg(F.count("*").alias("golds"))
     keyed = predictions.withColumns({
         "_found": F.lit(True),
@@ -118,7 +119,7 @@ def evaluate(examples: DataFrame, predictions: DataFrame) -> DataFrame:
     """The metric row.  ``predictions`` has one row per query (see last_predictions).  Rates of
     accepted refinements and of non-empty anchors divide by all queries; latency and
     objectives average over the values present; run settings are those of the first query
-    by id that has one."""
+    that has one, in the order of the examples' ``ord``, if they have it, and of their ids."""
     rows = query_scores(examples, predictions)
     optional = [c for s in SIDES for c in (f"{s}_precision", f"{s}_f1")] + ["context_recall_per_node", "context_recall_per_1k_tokens", "anchor_recall_per_anchor"]
     number = lambda c: finite(F.col(c)) if c in rows.columns else F.lit(None).cast("double")
@@ -132,7 +133,7 @@ def evaluate(examples: DataFrame, predictions: DataFrame) -> DataFrame:
     # from here on numbers and settings are enough; scores are made once for all that follows
     lists = [*SIDES.values(), "anchor_ids", "anchor_node_ids"]
     rows = materialise(rows.drop(*lists), "scores")
-    settings = {n: F.min_by(_diagnostic(rows, n).cast(t), F.when(_diagnostic(rows, n).isNotNull(), F.col("query_id"))).alias(n) for n, t in (
+    settings = {n: F.min_by(_diagnostic(rows, n).cast(t), F.when(_diagnostic(rows, n).isNotNull(), F.struct("_place", "query_id"))).alias(n) for n, t in (
         ("retrieval_variant", "string"), ("renderer", "string"), ("relevance_mode", "string"), ("k", "int"), ("k_max", "int"), ("max_context_nodes", "int"), ("max_context_tokens", "int"))}
     mean = lambda c, name: F.coalesce(F.avg(c), F.lit(0.0)).alias(name)
     share = lambda c, name: F.coalesce(F.avg(c.cast("double")), F.lit(0.0)).alias(name)

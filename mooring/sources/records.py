@@ -148,18 +148,20 @@ def examples(lines: DataFrame, line: str = "line") -> DataFrame:
     return made.withColumn("nodes", F.when(mixed, F.raise_error(F.concat(F.lit("embeddings of several lengths in "), "query_id"))).otherwise(F.col("nodes")))
 
 
-def read_examples(spark: SparkSession, path: str, limit: int | None = None) -> DataFrame:
-    """Examples from JSON lines, or from Parquet of the same shape.  ``limit`` keeps the first
-    examples in the order of the files, blank lines not counted, with their places as
-    ``ord``, and must be at least 1."""
+def read_examples(spark: SparkSession, path: str, limit: int | None = None, numbered: bool = False) -> DataFrame:
+    """Examples from JSON lines, or from Parquet of the same shape.  ``numbered`` gives their
+    places in the files as ``ord``, for which the files are read twice.  ``limit`` keeps the
+    first examples, blank lines not counted, is numbered, and must be at least 1."""
     if limit is not None and limit < 1:
         raise ValueError("limit must be at least 1")
     if path.rstrip("/").endswith(".parquet"):
         rows = spark.read.parquet(path)
-        return rows if limit is None else with_ordinal(rows).orderBy("ord").limit(limit)
-    if limit is None:
+        rows = with_ordinal(rows) if numbered or limit else rows
+        return rows.orderBy("ord").limit(limit) if limit else rows
+    if not numbered and not limit:
         return examples(spark.read.text(path).withColumnRenamed("value", "line"))
-    return examples(numbered_lines(spark, path).where(~blank_line("line")).orderBy("ord").limit(limit))
+    lines = numbered_lines(spark, path)
+    return examples(lines.where(~blank_line("line")).orderBy("ord").limit(limit) if limit else lines)
 
 
 def write_json_lines(df: DataFrame, path: str) -> None:

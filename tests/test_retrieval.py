@@ -210,6 +210,12 @@ def test_limits_and_places_pass_over_blank_lines(spark, tmp_path):
     (tmp_path / "bad.jsonl").write_text(json.dumps(line()) + "\n" + json.dumps({"query_id": "x", "query": "y"}))
     with pytest.raises(Exception, match="no nodes in line 2"):
         records.read_examples(spark, str(tmp_path / "bad.jsonl"), 5).collect()
+    every = records.read_examples(spark, str(tmp_path / "in.jsonl"), numbered=True)
+    assert [(r["query_id"], r["ord"]) for r in every.orderBy("ord").collect()] == [(f"q{k}", 2 + 2 * k) for k in range(6)]
+    # run settings are the first query's in the file that has one
+    pred = spark.createDataFrame([("q4", ["x"], (4,)), ("q2", ["x"], (2,)), ("q0", ["x"], (None,))], "query_id string, anchor_ids array<string>, diagnostics struct<k:int>").withColumn("context_node_ids", F.col("anchor_ids"))
+    turned = every.withColumn("ord", -F.col("ord"))
+    assert E.evaluate(every, pred).first()["k"] == 2 and E.evaluate(turned, pred).first()["k"] == 4
     rows = spark.range(1000, numPartitions=7)
     assert all(r["ord"] == r["id"] for r in records.with_ordinal(rows).collect())
 
