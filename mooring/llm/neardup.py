@@ -149,13 +149,12 @@ def text_classes(df: DataFrame, key: str, text: str) -> tuple[DataFrame, DataFra
     """(members, sets), both written tables: members has each distinct (id, rep), sets one
     row (rep, slots) per distinct text of at least two words, numbered by rep.  Texts are
     told apart by 128 bits."""
-    inner = SEPARATORS[1:-2]
-    rows = df.select(F.col(key).alias("id"), F.col(text).alias("txt")).where(
-        F.col("id").isNotNull() & F.col("txt").rlike(f"[^{inner}][{inner}]+[^{inner}]"))
+    rows = df.select(F.col(key).alias("id"), F.col(text).alias("txt")).where("id is not null and txt is not null")
     hashed = rows.withColumns({"h": F.xxhash64("txt"), "g": F.xxhash64(F.lit(1), "txt")})
     # only hashes are shuffled with the ids; each text is shuffled once per task that holds it
     texts = hashed.select("h", "g", "txt").dropDuplicates(["h", "g"])
-    sets = materialise(texts.select("h", "g", F.monotonically_increasing_id().alias("rep"), word_pairs(F.col("txt")).alias("slots")), "sets")
+    sets = texts.select("h", "g", F.monotonically_increasing_id().alias("rep"), word_pairs(F.col("txt")).alias("slots"))
+    sets = materialise(sets.where(F.size("slots") > 0), "sets")
     members = hashed.select("id", "h", "g").distinct().join(sets.select("h", "g", "rep"), ["h", "g"]).select("id", "rep")
     return materialise(members, "members"), sets.select("rep", "slots")
 
